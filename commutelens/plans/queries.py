@@ -126,7 +126,7 @@ def src_bad_rows(spark, sf):
         F.col("trip_id") % 50 == 7, F.concat(F.lit("broken,"), F.col("trip_id").cast("string"))
     ).otherwise(F.concat_ws(",", "trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"))
     I.stop_times(spark, sf).select(line.alias("value")).write.text(folder)
-    good, _ = IO.read_tolerant(spark, folder, schemas.STOP_TIMES)
+    good, _ = IO.read_tolerant(spark, folder, schemas.STOP_TIMES, header=False)
     return good
 
 

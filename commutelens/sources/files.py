@@ -73,11 +73,13 @@ def with_model(df: DataFrame, pattern: str, name: str = "model") -> DataFrame:
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_tolerant(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Good rows and unreadable lines of CSV files; broken files are passed over."""
     corrupt = "_unreadable"
     raw = (
-        spark.read.option("header", True)
+        spark.read.option("header", header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", corrupt)
         .option("ignoreCorruptFiles", True)
