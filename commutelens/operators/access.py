@@ -14,6 +14,11 @@ from commutelens.operators.travel import od_left_ttm
 
 ZONE = ("id_hex", "pop", "R003")
 
+# A sum of doubles depends in its last digits on the order rows arrive in.  Values are
+# kept to a millionth of a job, so that zones equal to each other or to a threshold
+# stay equal, in every scenario and after every retry.
+PLACES = 6
+
 
 def jobs_by_time(
     ttm: DataFrame, origins: DataFrame, destinations: DataFrame, scenarios: Sequence[str]
@@ -70,7 +75,7 @@ def accessibility(
     return (
         _for_scenarios(origins, scenarios)
         .join(gained, ["scenario", "id_hex"], "left")
-        .select("scenario", *ZONE, F.coalesce("_gained", F.lit(0.0)).alias("cum_jobs"))
+        .select("scenario", *ZONE, F.round(F.coalesce("_gained", F.lit(0.0)), PLACES).alias("cum_jobs"))
     )
 
 
@@ -99,7 +104,7 @@ def sigma_fanout(
         F.struct(
             F.lit(name).alias("sigma_scenario"),
             F.lit(float(sigma)).alias("sigma"),
-            F.coalesce(F.col(name), F.lit(0.0)).alias("cum_jobs"),
+            F.round(F.coalesce(F.col(name), F.lit(0.0)), PLACES).alias("cum_jobs"),
         )
         for name, sigma in sigmas.items()
     ]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commutelens.functions.decay import Kernel, gaussian, weighted
+from commutelens.operators.access import PLACES
 from commutelens.operators.feed import fleet_profile, trip_spans
 from commutelens.operators.running import running_total
 from commutelens.operators.scalars import record, scalar
@@ -55,7 +56,7 @@ def candidate_fitness(
     poor = (
         origins.join(on_foot, "id", "left")
         .select(F.col("id").alias("from_id"), "pop", F.coalesce("_base", F.lit(0.0)).alias("_base"))
-        .where(F.col("_base") <= line)
+        .where(F.round("_base", PLACES) <= line)
     )
     faster = (
         rides.join(
@@ -71,7 +72,7 @@ def candidate_fitness(
         faster.groupBy("cand_id", "from_id")
         .agg(F.sum(gain).alias("_gain"))
         .join(poor, "from_id")
-        .where(F.col("_base") + F.col("_gain") > line)
+        .where(F.round(F.col("_base") + F.col("_gain"), PLACES) > line)
         .groupBy("cand_id")
         .agg(F.sum("pop").alias("_lifted"))
     )

@@ -260,10 +260,10 @@ def interventions(spark: SparkSession) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as candidates; each of their events keeps up to eight trips."""
+    """Users as candidates; each of their events keeps up to four trips."""
     kept = (
         table(spark, sf_dir, "events")
-        .select("user_id", "event_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("q"))
+        .select("user_id", "event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q"))
         .select(
             F.lit(1).cast("long").alias("generation"),
             F.col("user_id").alias("cand_id"),

@@ -70,14 +70,14 @@ VIEWS: dict[str, str] = {
         FROM od LEFT JOIN ttm t USING (scenario, from_id, to_id)""",
     "by_time": """SELECT scenario, from_id, travel_time, sum(jobs)::BIGINT AS jobs
         FROM odt GROUP BY ALL""",
-    "access": f"""SELECT s.scenario, o.id AS id_hex, o.pop, o.R003, coalesce(g.v, 0::DOUBLE) AS cum_jobs
+    "access": f"""SELECT s.scenario, o.id AS id_hex, o.pop, o.R003, round(coalesce(g.v, 0::DOUBLE), 6) AS cum_jobs
         FROM origins o CROSS JOIN scen s LEFT JOIN (
             SELECT scenario, from_id, sum(jobs * {_gauss('travel_time')}) AS v
             FROM by_time WHERE travel_time IS NOT NULL GROUP BY ALL) g
         ON g.scenario = s.scenario AND g.from_id = o.id""",
     "sigmas": f"SELECT * FROM (VALUES {SIGMA_ROWS}) AS t(sigma_scenario, sigma, sigma_rank)",
     "fan": f"""SELECT s.scenario, z.sigma_scenario, z.sigma, o.id AS id_hex, o.pop, o.R003,
-            coalesce(g.v, 0::DOUBLE) AS cum_jobs
+            round(coalesce(g.v, 0::DOUBLE), 6) AS cum_jobs
         FROM origins o CROSS JOIN scen s CROSS JOIN sigmas z LEFT JOIN (
             SELECT scenario, from_id, sigma_scenario, sum(jobs * {_gauss('travel_time', 'sigma')}) AS v
             FROM by_time CROSS JOIN sigmas WHERE travel_time IS NOT NULL GROUP BY ALL) g
@@ -139,7 +139,7 @@ VIEWS: dict[str, str] = {
     "events2": """SELECT scenario, route_id < 3 AS metro, s AS tick, 1 AS delta FROM spans JOIN strips USING (trip_id)
         UNION ALL SELECT scenario, route_id < 3, e, -1 FROM spans JOIN strips USING (trip_id)""",
     "cands": """SELECT DISTINCT 1::BIGINT AS generation, user_id AS cand_id, event_id + 1009 * q AS trip_id
-        FROM events CROSS JOIN (SELECT unnest(range(0, 8)) AS q)
+        FROM events CROSS JOIN (SELECT unnest(range(0, 4)) AS q)
         WHERE event_id + 1009 * q IN (SELECT o_orderkey FROM orders)""",
     "picked": "SELECT cand_id, trip_id, route_id, distance FROM cands JOIN tripdist USING (trip_id)",
     "costs": """SELECT cand_id, sum(distance) AS distance, count(*) AS trips, sum(distance) <=
@@ -351,7 +351,10 @@ oracle(
 )
 oracle("total_jobs", "SELECT total_jobs FROM tj")
 oracle("total_population", "SELECT sum(pop)::BIGINT AS total_population FROM origins")
-oracle("origin_coverage", "SELECT id FROM origins WHERE id NOT IN (SELECT from_id FROM ttm)")
+oracle(
+    "origin_coverage",
+    "SELECT id FROM origins WHERE id NOT IN (SELECT from_id FROM ttm WHERE travel_time <= 15)",
+)
 
 # -- travel times -----------------------------------------------------------------------------
 WALK = 900
@@ -365,23 +368,38 @@ VIEWS["foot"] = f"""SELECT o.id AS from_id, d.id AS to_id,
         ceil(ceil({_haversine('o.lon', 'o.lat', 'd.lon', 'd.lat')}) / 60)::BIGINT AS travel_time
     FROM origins o CROSS JOIN dests d
     WHERE o.id <> d.id AND {_haversine('o.lon', 'o.lat', 'd.lon', 'd.lat')} <= {WALK}"""
+# The timetable search draw by draw: state per origin, stop and minute of departure.
+VIEWS["legs"] = """SELECT b.trip_id, b.stop_id AS board, b.departure_time AS dep, a.stop_id AS alight,
+        a.arrival_time AS arr
+    FROM st b JOIN st a ON a.trip_id = b.trip_id AND a.stop_sequence > b.stop_sequence
+    WHERE b.departure_time >= 23400 AND a.arrival_time <= 23400 + 59 * 60 + 7200"""
+VIEWS["one_ride"] = """SELECT x.from_id, l.alight AS stop_id, m, min(l.arr) AS arr
+    FROM access_walk x JOIN legs l ON l.board = x.stop_id
+    CROSS JOIN (SELECT unnest(range(60)) AS m)
+    WHERE l.dep - x.walk >= 23400 + 60 * m AND l.arr <= 23400 + 60 * m + 7200 GROUP BY ALL"""
+VIEWS["two_rides"] = """SELECT from_id, stop_id, m, min(arr) AS arr FROM (
+        SELECT * FROM one_ride
+        UNION ALL SELECT r.from_id, l.alight, r.m, min(l.arr) FROM one_ride r
+        JOIN legs l ON l.board = r.stop_id AND l.dep >= r.arr
+        WHERE l.arr <= 23400 + 60 * r.m + 7200 GROUP BY ALL) GROUP BY ALL"""
+
+
+def _median_minutes(state: str, who: str) -> str:
+    """30th of 60 draws, those over two hours last, from the states at stops."""
+    return f"""SELECT {who}, to_id, t AS travel_time FROM (
+        SELECT *, row_number() OVER (PARTITION BY {who}, to_id ORDER BY t) AS n FROM (
+            SELECT {who}, to_id, m, ceil((arr - 23400 - 60 * m) / 60)::BIGINT AS t FROM (
+                SELECT {who}, to_id, m, min(arr + walk) AS arr
+                FROM {state} JOIN egress_walk USING (stop_id) WHERE from_id <> to_id GROUP BY ALL))
+        WHERE t <= 120) WHERE n = 30"""
+
+
+VIEWS["rode_one"] = _median_minutes("one_ride", "from_id")
+VIEWS["rode_two"] = _median_minutes("two_rides", "from_id")
 oracle(
     "ttm_timetable",
-    """, legs AS (SELECT b.stop_id AS board, b.departure_time AS dep, a.stop_id AS alight, a.arrival_time AS arr
-        FROM st b JOIN st a ON a.trip_id = b.trip_id AND a.stop_sequence > b.stop_sequence
-        WHERE b.departure_time >= 23400 AND b.departure_time <= 23400 + 59 * 60 + 7200),
-    reach AS (SELECT x.from_id, l.alight, least(59, (l.dep - x.walk - 23400) // 60) AS last_draw, min(l.arr) AS arr
-        FROM access_walk x JOIN legs l ON l.board = x.stop_id WHERE l.dep - x.walk >= 23400 GROUP BY ALL),
-    ends AS (SELECT r.from_id, y.to_id, r.last_draw, min(r.arr + y.walk) AS arr
-        FROM reach r JOIN egress_walk y ON y.stop_id = r.alight WHERE r.from_id <> y.to_id GROUP BY ALL),
-    draws AS (SELECT from_id, to_id, m, min(arr) AS arr FROM ends, (SELECT unnest(range(60)) AS m)
-        WHERE last_draw >= m GROUP BY ALL),
-    minutes AS (SELECT from_id, to_id, ceil((arr - 23400 - 60 * m) / 60)::BIGINT AS t FROM draws),
-    rode AS (SELECT from_id, to_id, t AS travel_time FROM (
-        SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY t) AS n FROM minutes WHERE t <= 120)
-        WHERE n = 30)
-    SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
-        SELECT * FROM rode UNION ALL SELECT * FROM foot) GROUP BY ALL""",
+    """SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
+        SELECT * FROM rode_two UNION ALL SELECT * FROM foot) GROUP BY ALL""",
 )
 oracle("ttm_rename", "SELECT from_id, to_id, travel_time FROM ttm WHERE scenario = 'baseline'")
 oracle(
@@ -560,8 +578,7 @@ oracle(
         SELECT scenario, x, y, lag(x, 1, 0) OVER w AS x0, lag(y, 1, 0) OVER w AS y0 FROM curve
         WINDOW w AS (PARTITION BY scenario ORDER BY x, y)) GROUP BY scenario""",
 )
-VALUES_ = """(SELECT scenario, round(cum_jobs, 6) AS cum_jobs, sum(pop)::BIGINT AS pop FROM access
-    GROUP BY scenario, round(cum_jobs, 6))"""
+VALUES_ = """(SELECT scenario, cum_jobs, sum(pop)::BIGINT AS pop FROM access GROUP BY scenario, cum_jobs)"""
 oracle(
     "access_cdf",
     f"""SELECT scenario, cum_jobs, pop, round(sum(pop) OVER (PARTITION BY scenario ORDER BY cum_jobs)
@@ -697,6 +714,43 @@ oracle(
     "candidate_cost",
     "SELECT cand_id, round(distance, 2) AS distance, trips, feasible FROM costs",
 )
+# The same search with the trips of each affordable candidate only.
+VIEWS["affordable"] = "SELECT cand_id FROM costs WHERE feasible"
+VIEWS["cand_ride"] = """SELECT c.cand_id, x.from_id, l.alight AS stop_id, m, min(l.arr) AS arr
+    FROM access_walk x JOIN legs l ON l.board = x.stop_id JOIN cands c ON c.trip_id = l.trip_id
+    CROSS JOIN (SELECT unnest(range(60)) AS m)
+    WHERE l.dep - x.walk >= 23400 + 60 * m AND l.arr <= 23400 + 60 * m + 7200
+        AND c.cand_id IN (SELECT cand_id FROM affordable) GROUP BY ALL"""
+VIEWS["cand_rode"] = _median_minutes("cand_ride", "cand_id, from_id")
+VIEWS["inv_line"] = """SELECT quantile_cont(v, 0.5) AS line FROM (
+    SELECT v, unnest(range(pop)) FROM (
+        SELECT o.id, o.pop, round(coalesce(sum(d.jobs / t.travel_time::DOUBLE), 0), 6) AS v
+        FROM origins o LEFT JOIN (
+            SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
+                SELECT * FROM rode_one UNION ALL SELECT * FROM foot) GROUP BY ALL) t ON t.from_id = o.id
+        LEFT JOIN dests d ON d.id = t.to_id GROUP BY o.id, o.pop))"""
+VIEWS["cand_reach"] = """SELECT cand_id, from_id, round(sum(jobs / travel_time::DOUBLE), 6) AS v FROM (
+        SELECT cand_id, from_id, to_id, min(travel_time) AS travel_time FROM (
+            SELECT * FROM cand_rode
+            UNION ALL SELECT a.cand_id, foot.* FROM affordable a CROSS JOIN foot) GROUP BY ALL)
+    JOIN dests ON dests.id = to_id GROUP BY ALL"""
+VIEWS["cand_people"] = """SELECT a.cand_id, sum(o.pop)::DOUBLE AS people
+    FROM affordable a CROSS JOIN origins o
+    LEFT JOIN cand_reach r ON r.cand_id = a.cand_id AND r.from_id = o.id
+    WHERE coalesce(r.v, 0) <= (SELECT line FROM inv_line) GROUP BY ALL"""
+oracle(
+    "candidate_fitness",
+    "SELECT cand_id, feasible, -people AS fitness FROM costs LEFT JOIN cand_people USING (cand_id)",
+)
+oracle(
+    "candidate_batch",
+    """SELECT cand_id, trips, round(distance, 2) AS distance, feasible, -people AS fitness
+    FROM costs JOIN cand_people USING (cand_id)""",
+)
+oracle(
+    "candidate_elite",
+    """SELECT cand_id, -people AS fitness FROM cand_people ORDER BY people, cand_id LIMIT 11""",
+)
 oracle(
     "candidate_add",
     """SELECT cand_id, trip_id FROM cands UNION ALL SELECT -1, trip_id FROM served""",

@@ -348,7 +348,9 @@ def total_population(spark, sf):
 
 @query
 def origin_coverage(spark, sf):
-    return Z.uncovered_origins(I.origins(spark, sf), I.ttm(spark, sf))
+    """Origins from which no destination is within a quarter of an hour."""
+    near = I.ttm(spark, sf).where("travel_time <= 15")
+    return Z.uncovered_origins(I.origins(spark, sf), near)
 
 
 # -- travel times ----------------------------------------------------------------------
@@ -362,7 +364,6 @@ def ttm_timetable(spark, sf):
         I.trips(spark, sf),
         I.stop_times(spark, sf),
         I.stops(spark, sf),
-        T.Search(max_rides=1),
     )
 
 
@@ -646,20 +647,15 @@ def gini_exact(spark, sf):
     return rounded(N.gini_exact(N.lorenz_curve(Study(spark, sf).plain_access())), 6, "gini")
 
 
-def _whole(access: DataFrame) -> DataFrame:
-    """Values rounded to 6 places, so that equal ones are equal in every engine."""
-    return rounded(access, 6, "cum_jobs")
-
-
 @query
 def access_cdf(spark, sf):
-    return rounded(N.access_cdf(_whole(Study(spark, sf).plain_access())), 6, "cum_jobs", "cum_pop")
+    return rounded(N.access_cdf(Study(spark, sf).plain_access()), 6, "cum_jobs", "cum_pop")
 
 
 @query
 def access_cum_cdf(spark, sf):
     return rounded(
-        N.access_cum_cdf(_whole(Study(spark, sf).plain_access())),
+        N.access_cum_cdf(Study(spark, sf).plain_access()),
         6,
         "cum_jobs",
         "cum_pop",
@@ -824,8 +820,7 @@ def _share_of_total(lengths: DataFrame) -> DataFrame:
     return lengths.agg((F.sum("distance") * 0.9).alias("budget"))
 
 
-def _costs(spark, sf):
-    lengths, listed = _lengths(spark, sf), I.candidates(spark, sf)
+def _costs(lengths, listed):
     return S.candidate_cost(lengths, listed, _mean_cost(S.candidate_select(lengths, listed)))
 
 
@@ -837,22 +832,19 @@ def candidate_select(spark, sf):
 
 @query
 def candidate_cost(spark, sf):
-    return rounded(_costs(spark, sf), 2, "distance")
+    return rounded(_costs(_lengths(spark, sf), I.candidates(spark, sf)), 2, "distance")
 
 
 def _scored(spark, sf):
     """All candidates scored in one job, on times with one ride."""
     study = Study(spark, sf)
     search = T.Search(max_rides=1)
+    lengths, listed = cut(_lengths(spark, sf)), cut(I.candidates(spark, sf))
     stop_times, stops = I.stop_times(spark, sf), I.stops(spark, sf)
-    costs = _costs(spark, sf)
+    costs = cut(_costs(lengths, listed))
     # the cheap test comes first: candidates over budget are never routed
     affordable = costs.where("feasible").select("cand_id")
-    kept = (
-        I.candidates(spark, sf)
-        .join(affordable, "cand_id", "left_semi")
-        .select("cand_id", "trip_id")
-    )
+    kept = listed.join(affordable, "cand_id", "left_semi").select("cand_id", "trip_id")
     full = T.timetable_times(
         study.origins, study.destinations, I.trips(spark, sf), stop_times, stops, search
     ).withColumn("scenario", F.lit("baseline"))
@@ -861,8 +853,8 @@ def _scored(spark, sf):
     rides = T.ride_times(
         study.origins, study.destinations, kept, stop_times, stops, search, ["cand_id"]
     )
-    walked = T.walk_times(study.origins, study.destinations, search)
-    line = cut(Q.critical_threshold(reach).select((F.col("critical_access") / 4).alias("line")))
+    walked = cut(T.walk_times(study.origins, study.destinations, search))
+    line = Q.critical_threshold(reach)
     return S.candidate_fitness(
         costs, rides, walked, study.origins, study.destinations, line, kernel
     )

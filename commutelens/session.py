@@ -48,11 +48,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there.
 
     Used where one input feeds several branches, or where partition ids must stay
-    what they were.  The copy survives the loss of any executor.
+    what they were.  The copy survives the loss of any executor, is computed once,
+    and later reads take only the columns they need and know its size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
