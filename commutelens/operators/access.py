@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from commutelens.functions.decay import SIGMAS, Kernel, gaussian, weighted
 from commutelens.functions.labels import BASELINE
+from commutelens.functions.numbers import ratio
 from commutelens.operators.scalars import scalar
 from commutelens.operators.travel import od_left_ttm
 
@@ -166,7 +167,7 @@ def diff_to_baseline(
     """``diff`` = scenario minus baseline, as a share of all jobs if these are given."""
     diff = F.col("cum_jobs") - F.col("cum_jobs_bl")
     if total_jobs is not None:
-        diff = diff / scalar(total_jobs)
+        diff = ratio(diff, scalar(total_jobs))
     return (
         with_baseline(access, keys, baseline)
         .where(F.col("scenario") != baseline)
@@ -175,4 +176,4 @@ def diff_to_baseline(
 
 
 def share_of_jobs(access: DataFrame, total_jobs: DataFrame) -> DataFrame:
-    return access.withColumn("share", F.col("cum_jobs") / scalar(total_jobs))
+    return access.withColumn("share", ratio(F.col("cum_jobs"), scalar(total_jobs)))

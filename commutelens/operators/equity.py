@@ -17,6 +17,7 @@ from commutelens.functions.labels import (
     scenario_label,
     thousands,
 )
+from commutelens.functions.numbers import ratio
 from commutelens.operators.access import diff_to_baseline, with_baseline
 from commutelens.operators.running import weighted_quantiles
 from commutelens.operators.scalars import record, scalar
@@ -114,7 +115,7 @@ def critical_share_decile(by_decile: DataFrame) -> DataFrame:
         "scenario",
         "state",
         "pop",
-        percent(F.col("pop") / F.sum("pop").over(group) * 100).alias("perc_pop"),
+        percent(ratio(F.col("pop"), F.sum("pop").over(group)) * 100).alias("perc_pop"),
         F.when(F.col("state") == NOT_CRITICAL, half).otherwise(half + following).alias("label_y"),
     )
 
@@ -155,7 +156,8 @@ def poverty_curve(
         access.select("scenario", "pop", "cum_jobs", step.alias("_step"))
         .where(F.col("cum_jobs") - p * scalar(total_jobs) <= 0)
         .groupBy("scenario", p.alias("poverty_threshold"))
-        .agg((F.sum("pop") / people).alias("share"))
+        .agg(F.sum("pop").alias("_pop"))
+        .select("scenario", "poverty_threshold", ratio(F.col("_pop"), people).alias("share"))
     )
 
 
@@ -175,7 +177,7 @@ def sigma_performance(access: DataFrame, thresholds: DataFrame) -> DataFrame:
             "sigma_scenario",
             "critical_access",
             "critical_pop",
-            (F.col("critical_pop") / F.col("_people")).alias("perc_critical_pop"),
+            ratio(F.col("critical_pop"), F.col("_people")).alias("perc_critical_pop"),
         )
     )
 
@@ -187,7 +189,7 @@ def impact_regression(
     access: DataFrame, total_jobs: DataFrame, keys: Sequence[str] = ("scenario",)
 ) -> DataFrame:
     """Least-squares line of the change on the baseline, both as shares of all jobs."""
-    base = F.col("cum_jobs_bl") / scalar(total_jobs)
+    base = ratio(F.col("cum_jobs_bl"), scalar(total_jobs))
     return (
         diff_to_baseline(access, (), total_jobs)
         .withColumn("base", base)
@@ -213,7 +215,7 @@ def total_impact(access: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def size_share(access: DataFrame) -> DataFrame:
     """People of a zone relative to the most peopled one."""
-    return access.withColumn("size", F.col("pop") / scalar(access.agg(F.max("pop"))))
+    return access.withColumn("size", ratio(F.col("pop"), scalar(access.agg(F.max("pop")))))
 
 
 # -- performance ---------------------------------------------------------------------
@@ -253,7 +255,7 @@ def performance(
 
 def performance_labels(rows: DataFrame, total_population: DataFrame) -> DataFrame:
     """Percent text per scenario, fleet and distance relative to the largest."""
-    share = F.round(F.col("people_critical") / scalar(total_population) * 100, 1)
+    share = F.round(ratio(F.col("people_critical"), scalar(total_population)) * 100, 1)
     text = F.concat(share.cast("string"), F.lit("%\n"), thousands(F.col("people_critical")), F.lit(" ind."))
     largest = record(
         rows.agg(F.max("max_bus_fleet").alias("fleet"), F.max("total_bus_distance").alias("metres"))
@@ -261,8 +263,8 @@ def performance_labels(rows: DataFrame, total_population: DataFrame) -> DataFram
     return rows.select(
         scenario_label(F.col("scenario")).alias("scenario"),
         text.alias("people_critical_perc"),
-        (F.col("max_bus_fleet") / largest["fleet"]).alias("fleet_norm"),
-        (F.col("total_bus_distance") / largest["metres"]).alias("distance_norm"),
+        ratio(F.col("max_bus_fleet"), largest["fleet"]).alias("fleet_norm"),
+        ratio(F.col("total_bus_distance"), largest["metres"]).alias("distance_norm"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commutelens.functions.numbers import ratio
 from commutelens.operators.running import running_total, weighted_quantiles
 from commutelens.operators.scalars import record, scalar
 
@@ -17,16 +18,16 @@ HALF_ABOVE = 0.375
 
 def palma_ratio(access: DataFrame) -> DataFrame:
     """Mean of the top tenth of the people's zones over that of the lowest 40 %."""
-    place = F.col("cum_pop") / F.col("cum_pop_total")
+    place = ratio(F.col("cum_pop"), F.col("cum_pop_total"))
     top, low = place >= 0.9, place <= 0.4
     return (
         running_total(access, ["scenario"], ["cum_jobs", "id_hex"], {"cum_pop": "pop"})
         .groupBy("scenario")
         .agg(
-            (
-                F.avg(F.when(top, F.col("cum_jobs"))) / F.avg(F.when(low, F.col("cum_jobs")))
-            ).alias("palma_ratio")
+            F.avg(F.when(top, F.col("cum_jobs"))).alias("_top"),
+            F.avg(F.when(low, F.col("cum_jobs"))).alias("_low"),
         )
+        .select("scenario", ratio(F.col("_top"), F.col("_low")).alias("palma_ratio"))
     )
 
 
@@ -49,10 +50,10 @@ def lorenz_curve(access: DataFrame) -> DataFrame:
         "pop",
         "cum_jobs",
         "tot_access",
-        (F.col("cum_access") / reach).alias("lorenz_access"),
-        (F.col("cum_pop") / people).alias("lorenz_pop"),
-        ((F.col("cum_pop") - F.col("pop")) / people).alias("_x0"),
-        ((F.col("cum_access") - F.col("tot_access")) / reach).alias("_y0"),
+        ratio(F.col("cum_access"), reach).alias("lorenz_access"),
+        ratio(F.col("cum_pop"), people).alias("lorenz_pop"),
+        ratio(F.col("cum_pop") - F.col("pop"), people).alias("_x0"),
+        ratio(F.col("cum_access") - F.col("tot_access"), reach).alias("_y0"),
     )
 
 
@@ -99,9 +100,9 @@ def gini_severity(curve: DataFrame) -> DataFrame:
         (HALF_ABOVE - F.col("Bns")).alias("Asn"),
     ).withColumn("A", F.col("As") + F.col("Asn"))
     return (
-        shape.withColumn("gini", F.col("A") / (F.col("A") + F.col("B")))
-        .withColumn("severity", F.col("As") / (F.col("A") + F.col("B")))
-        .withColumn("severity_perc", F.col("severity") / F.col("gini"))
+        shape.withColumn("gini", ratio(F.col("A"), F.col("A") + F.col("B")))
+        .withColumn("severity", ratio(F.col("As"), F.col("A") + F.col("B")))
+        .withColumn("severity_perc", ratio(F.col("severity"), F.col("gini")))
     )
 
 
@@ -117,7 +118,7 @@ def access_cdf(access: DataFrame) -> DataFrame:
         "scenario",
         "cum_jobs",
         "pop",
-        (F.col("_upto") / F.col("_upto_total")).alias("cum_pop"),
+        ratio(F.col("_upto"), F.col("_upto_total")).alias("cum_pop"),
     )
 
 
@@ -129,15 +130,15 @@ def access_cum_cdf(access: DataFrame) -> DataFrame:
     ).select(
         "scenario",
         "cum_jobs",
-        (F.col("_people") / F.col("_people_total")).alias("cum_pop"),
-        (F.col("_reach") / F.col("_reach_total")).alias("cum_cum_jobs"),
+        ratio(F.col("_people"), F.col("_people_total")).alias("cum_pop"),
+        ratio(F.col("_reach"), F.col("_reach_total")).alias("cum_cum_jobs"),
     )
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     width = (high - low) / bins
     place = F.floor((value - low) / F.nullif(width, F.lit(0.0)))
-    return F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("long")
+    return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("long")
 
 
 def weighted_histogram(access: DataFrame, threshold: DataFrame, bins: int = 60) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from commutelens import schemas
 from commutelens.operators.access import stack
 from commutelens.operators.feed import Feed
+from commutelens.session import cut
 
 
 def read_feed(spark: SparkSession, folder: str, fmt: str = "parquet") -> Feed:
@@ -76,9 +77,13 @@ def with_model(df: DataFrame, pattern: str, name: str = "model") -> DataFrame:
 def read_tolerant(
     spark: SparkSession, path: str, schema: T.StructType, header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Good rows and unreadable lines of CSV files; broken files are passed over."""
+    """Good rows and unreadable lines of CSV files; broken files are passed over.
+
+    Whether a line is readable shows only when all its fields are parsed, so the
+    files are parsed once, whole, and both results come from the stored table.
+    """
     corrupt = "_unreadable"
-    raw = (
+    raw = cut(
         spark.read.option("header", header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", corrupt)
