@@ -11,7 +11,7 @@ from commutelens.functions.decay import SIGMAS, Kernel, gaussian, weighted
 from commutelens.functions.labels import BASELINE
 from commutelens.functions.numbers import ratio
 from commutelens.operators.scalars import scalar
-from commutelens.operators.travel import od_left_ttm
+from commutelens.operators.travel import reachable, unreached
 
 ZONE = ("id_hex", "pop", "R003")
 
@@ -24,12 +24,13 @@ PLACES = 6
 def jobs_by_time(
     ttm: DataFrame, origins: DataFrame, destinations: DataFrame, scenarios: Sequence[str]
 ) -> DataFrame:
-    """Jobs per origin and travel time, unreachable ones at infinity."""
-    return (
-        od_left_ttm(ttm, origins, destinations, scenarios)
+    """Destinations and jobs per origin and travel time, unreachable ones at infinity."""
+    finite = (
+        reachable(ttm, origins, destinations)
         .groupBy("scenario", "from_id", "travel_time")
-        .agg(F.sum("jobs").alias("jobs"))
+        .agg(F.sum("pairs").alias("pairs"), F.sum("jobs").alias("jobs"))
     )
+    return finite.unionByName(unreached(finite, origins, destinations, scenarios))
 
 
 def decayed(by_time: DataFrame, kernel: Kernel) -> DataFrame:

@@ -30,7 +30,10 @@ def critical_threshold(access: DataFrame, baseline: str = BASELINE) -> DataFrame
 
 
 def sigma_thresholds(access: DataFrame, baseline: str = BASELINE) -> DataFrame:
-    """The same for each sigma."""
+    """The same for each sigma: as many rows as sigmas were named in the fan-out.
+
+    That is a handful by construction, which is why the joins with it broadcast it.
+    """
     people = access.where(F.col("scenario") == baseline)
     return weighted_quantiles(
         people, ["sigma_scenario"], "cum_jobs", "pop", {"critical_access": 0.5}
@@ -86,7 +89,7 @@ def transition_per_sigma(
     )
     return (
         with_baseline(access, ["sigma_scenario"], baseline)
-        .join(thresholds, "sigma_scenario")
+        .join(F.broadcast(thresholds), "sigma_scenario")
         .withColumn("state", state)
     )
 
@@ -165,7 +168,7 @@ def sigma_performance(access: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Critical people and their share, per scenario and sigma."""
     below = F.col("cum_jobs") <= F.col("critical_access")
     return (
-        access.join(thresholds, "sigma_scenario")
+        access.join(F.broadcast(thresholds), "sigma_scenario")
         .groupBy("scenario", "sigma_scenario", "critical_access")
         .agg(
             F.sum(F.when(below, F.col("pop")).otherwise(0)).alias("critical_pop"),
@@ -221,35 +224,29 @@ def size_share(access: DataFrame) -> DataFrame:
 # -- performance ---------------------------------------------------------------------
 
 
-def performance(
-    people: DataFrame,
-    bus_fleet: DataFrame,
-    bus_distance: DataFrame,
-    metro_fleet: DataFrame,
-    metro_distance: DataFrame,
-) -> DataFrame:
-    """One row per scenario from five per-scenario aggregates."""
-    return (
-        people.join(bus_fleet.withColumnRenamed("max_fleet", "max_bus_fleet"), "scenario", "left")
-        .join(
-            bus_distance.withColumnRenamed("total_distance", "total_bus_distance"),
-            "scenario",
-            "left",
-        )
-        .join(metro_fleet.withColumnRenamed("max_fleet", "max_metro_fleet"), "scenario", "left")
-        .join(
-            metro_distance.withColumnRenamed("total_distance", "total_metro_distance"),
-            "scenario",
-            "left",
-        )
-        .select(
-            "scenario",
-            "people_critical",
-            "max_bus_fleet",
-            "total_bus_distance",
-            "max_metro_fleet",
-            "total_metro_distance",
-        )
+def performance(people: DataFrame, operation: DataFrame) -> DataFrame:
+    """One row per scenario: people below the line, fleets and distances.
+
+    ``operation`` holds ``scenario, mode, max_fleet, total_distance`` with the modes
+    ``bus`` and ``metro``.
+    """
+
+    def of(mode: str, column: str) -> Column:
+        return F.max(F.when(F.col("mode") == mode, F.col(column)))
+
+    modes = operation.groupBy("scenario").agg(
+        of("bus", "max_fleet").alias("max_bus_fleet"),
+        of("bus", "total_distance").alias("total_bus_distance"),
+        of("metro", "max_fleet").alias("max_metro_fleet"),
+        of("metro", "total_distance").alias("total_metro_distance"),
+    )
+    return people.join(modes, "scenario", "left").select(
+        "scenario",
+        "people_critical",
+        "max_bus_fleet",
+        "total_bus_distance",
+        "max_metro_fleet",
+        "total_metro_distance",
     )
 
 

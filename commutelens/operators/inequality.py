@@ -154,7 +154,10 @@ def weighted_histogram(access: DataFrame, threshold: DataFrame, bins: int = 60)
 def weighted_histogram_sigma(
     access: DataFrame, thresholds: DataFrame, bins: int = 60
 ) -> DataFrame:
-    """The same per scenario and sigma, each with its own range."""
+    """The same per scenario and sigma, each with its own range.
+
+    There is one range per scenario and named sigma, a bounded table to broadcast.
+    """
     panel = ["scenario", "sigma_scenario"]
     span = access.groupBy(*panel).agg(
         F.min("cum_jobs").alias("_low"), F.max("cum_jobs").alias("_high")
@@ -162,7 +165,7 @@ def weighted_histogram_sigma(
     index = _bin(F.col("cum_jobs"), F.col("_low"), F.col("_high"), bins)
     below = F.when(F.col("cum_jobs") < F.col("critical_access"), F.col("pop")).otherwise(0)
     return (
-        access.join(span.join(thresholds, "sigma_scenario"), panel)
+        access.join(F.broadcast(span.join(F.broadcast(thresholds), "sigma_scenario")), panel)
         .groupBy(*panel, index.alias("bin"))
         .agg(F.sum("pop").alias("pop"), F.sum(below).alias("pop_critical"))
     )

@@ -31,32 +31,30 @@ def running_total(
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     # the range of a row must be the same wherever it is read, so it is stored
     ranged = cut(
-        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
-    )
-    per_range = ranged.groupBy(*keys, "_range").agg(
+        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()),
+        "ranged",
+    ).withColumn("_group", F.struct(*keys, "_range"))
+    per_range = ranged.groupBy("_group").agg(
         *[F.sum(source).alias(f"_sum_{name}") for name, source in sums.items()]
     )
     # one row per range and key: as many rows as partitions plus keys
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*[F.col(f"_group.{k}") for k in keys])
+    earlier = whole.orderBy("_group._range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_range").alias("_key_range"),
+        "_group",
         *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in sums],
         *[F.sum(f"_sum_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
+    # window and join are on the same column, so rows are shuffled once for both
     inside = (
-        Window.partitionBy(*keys, "_range")
+        Window.partitionBy("_group")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = ranged.select(
         "*", *[F.sum(source).over(inside).alias(f"_local_{n}") for n, source in sums.items()]
     )
-    match = F.col("_range") == F.col("_key_range")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return local.join(offsets, match).select(
+    return local.join(offsets, "_group").select(
         *df.columns,
         *[(F.col(f"_local_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in sums],
         *[f"{n}_total" for n in sums],

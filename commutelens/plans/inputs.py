@@ -63,9 +63,9 @@ def destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.destinations(zones(spark, sf_dir))
 
 
-def times_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Travel times of every (customer, part) pair that was ever ordered."""
-    pairs = (
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (customer, part) pair that was ever ordered, as zones."""
+    return (
         table(spark, sf_dir, "lineitem")
         .select("l_orderkey", F.col("l_partkey").alias("d"))
         .join(
@@ -74,39 +74,46 @@ def times_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
             "l_orderkey",
         )
+        .where("f <> d")
         .select("f", "d")
         .distinct()
+        .selectExpr(
+            "f",
+            "d",
+            ZONE_ID.format(key="f") + " AS from_id",
+            ZONE_ID.format(key="d") + " AS to_id",
+            "5 + (f * 37 + d * 101) % (40 + 20 * (f % 8)) AS t0",
+        )
     )
+
+
+def _per_scenario(pairs: DataFrame) -> DataFrame:
     numbered = [
         F.struct(F.lit(code).alias("scenario"), F.lit(k).cast("long").alias("k"))
         for k, code in enumerate(CODES)
     ]
-    minutes = (
-        "CASE WHEN k = 0 THEN t0 ELSE greatest(1L, t0 + (f + d + 3 * k) % 11 - 5) END AS travel_time"
-    )
+    minutes = "CASE WHEN k = 0 THEN t0 ELSE greatest(1L, t0 + (f + d + 3 * k) % 11 - 5) END"
     return (
-        pairs.where("f <> d")
-        .withColumn("t0", F.expr("5 + (f * 37 + d * 101) % (40 + 20 * (f % 8))"))
-        .select("f", "d", "t0", F.inline(F.array(*numbered)))
-        .selectExpr(
-            "scenario",
-            ZONE_ID.format(key="f") + " AS from_id",
-            ZONE_ID.format(key="d") + " AS to_id",
-            minutes,
-        )
+        pairs.select("*", F.inline(F.array(*numbered)))
+        .withColumn("travel_time", F.expr(minutes))
         .where("travel_time <= 120")
+        .select(*schemas.TTM.names)
     )
 
 
+def times_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Travel times of all pairs, whether or not their ends are zones of interest."""
+    return _per_scenario(_pairs(spark, sf_dir))
+
+
 def ttm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The travel times that start at an origin and end at a destination."""
     starts = origins(spark, sf_dir).select(F.col("id").alias("from_id"))
     ends = destinations(spark, sf_dir).select(F.col("id").alias("to_id"))
-    return (
-        times_everywhere(spark, sf_dir)
+    return _per_scenario(
+        _pairs(spark, sf_dir)
         .join(starts, "from_id", "left_semi")
         .join(ends, "to_id", "left_semi")
-        .select(*schemas.TTM.names)
     )
 
 

@@ -68,7 +68,7 @@ VIEWS: dict[str, str] = {
         FROM scen s CROSS JOIN origins o CROSS JOIN dests d WHERE o.id <> d.id""",
     "odt": """SELECT od.scenario, od.from_id, od.to_id, od.jobs, t.travel_time
         FROM od LEFT JOIN ttm t USING (scenario, from_id, to_id)""",
-    "by_time": """SELECT scenario, from_id, travel_time, sum(jobs)::BIGINT AS jobs
+    "by_time": """SELECT scenario, from_id, travel_time, count(*) AS pairs, sum(jobs)::BIGINT AS jobs
         FROM odt GROUP BY ALL""",
     "access": f"""SELECT s.scenario, o.id AS id_hex, o.pop, o.R003, round(coalesce(g.v, 0::DOUBLE), 6) AS cum_jobs
         FROM origins o CROSS JOIN scen s LEFT JOIN (
@@ -232,7 +232,7 @@ oracle("sink_ttm", TTM)
 oracle("sink_performance", f"SELECT {PERF} FROM perf")
 oracle(
     "scalar_threshold_io",
-    "SELECT scenario, people_critical, round(critical_access, 4) AS critical_access FROM people, thr",
+    "SELECT scenario, people_critical, round(critical_access, 7) AS critical_access FROM people, thr",
 )
 oracle(
     "src_inline_table",
@@ -427,15 +427,15 @@ oracle(
 )
 
 # -- accessibility -----------------------------------------------------------------------------
-oracle("jobs_by_time", "SELECT scenario, from_id, travel_time, jobs FROM by_time")
+oracle("jobs_by_time", "SELECT scenario, from_id, travel_time, pairs, jobs FROM by_time")
 oracle(
     "decay_gaussian",
-    f"""SELECT scenario, from_id, travel_time, jobs,
+    f"""SELECT scenario, from_id, travel_time, pairs, jobs,
         round(coalesce(jobs * {_gauss('travel_time')}, 0), 6) AS dec_jobs FROM by_time""",
 )
 oracle(
     "decay_inverse",
-    """SELECT scenario, from_id, travel_time, jobs,
+    """SELECT scenario, from_id, travel_time, pairs, jobs,
         round(coalesce(jobs / travel_time::DOUBLE, 0), 6) AS dec_jobs FROM by_time""",
 )
 oracle(
@@ -443,18 +443,18 @@ oracle(
     """SELECT travel_time, count(*) AS pairs, round(travel_time / sqrt(2 * ln(2::DOUBLE)), 6) AS sigma,
         0.5::DOUBLE AS share_at_half_life FROM ttm GROUP BY travel_time""",
 )
-ACCESS = "round(cum_jobs, 4) AS cum_jobs"
+ACCESS = "cum_jobs"
 oracle("accessibility", f"SELECT scenario, id_hex, pop, {ACCESS} FROM access")
 oracle(
     "attach_zone_attr",
-    f"""SELECT a.scenario, a.id_hex, {ACCESS}, z.R003, round(z.lon, 4) AS lon, round(z.lat, 4) AS lat
+    f"""SELECT a.scenario, a.id_hex, {ACCESS}, z.R003, round(z.lon, 6) AS lon, round(z.lat, 6) AS lat
     FROM access a LEFT JOIN zones z USING (id_hex)""",
 )
 oracle(
     "scenario_wide",
     "SELECT id_hex, pop, "
     + ", ".join(
-        f"round(max(cum_jobs) FILTER (WHERE scenario = '{s}'), 4) AS {s}"
+        f"max(cum_jobs) FILTER (WHERE scenario = '{s}') AS {s}"
         for s in ("baseline", "donothing", "optimal", "pasfor")
     )
     + " FROM access GROUP BY ALL",
@@ -486,7 +486,7 @@ oracle(
 )
 
 # -- equity ---------------------------------------------------------------------------------------
-LINE = "round(critical_access, 4) AS critical_access"
+LINE = "round(critical_access, 7) AS critical_access"
 oracle("critical_threshold", f"SELECT {LINE} FROM thr")
 oracle("sigma_thresholds", f"SELECT sigma_scenario, {LINE} FROM sthr")
 oracle("critical_population", "SELECT scenario, people_critical FROM people")
@@ -541,7 +541,7 @@ oracle(
 oracle(
     "sigma_performance",
     f"""SELECT scenario, sigma_scenario, {LINE}, sum(pop)::BIGINT AS critical_pop,
-        round(sum(pop) / (SELECT sum(pop) FROM origins), 4) AS perc_critical_pop
+        round(sum(pop) / (SELECT sum(pop) FROM origins), 7) AS perc_critical_pop
     FROM fan JOIN sthr USING (sigma_scenario) WHERE cum_jobs <= critical_access
     GROUP BY scenario, sigma_scenario, critical_access""",
 )
@@ -609,8 +609,8 @@ oracle(
 
 
 def _boxes(keys: str, rows: str, repeated: str) -> str:
-    return f"""SELECT {keys}, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-        round(min(diff) FILTER (WHERE ok), 4) AS low, round(max(diff) FILTER (WHERE ok), 4) AS high,
+    return f"""SELECT {keys}, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3,
+        round(min(diff) FILTER (WHERE ok), 8) AS low, round(max(diff) FILTER (WHERE ok), 8) AS high,
         count(*) AS n
     FROM (SELECT *, diff BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM {rows} JOIN (
         SELECT {keys}, quantile_cont(diff, 0.25) AS q1, quantile_cont(diff, 0.5) AS median,
@@ -640,17 +640,17 @@ oracle("impact_regression", _fit("scenario"))
 oracle("impact_regression_decile", _fit("scenario, R003"))
 oracle(
     "total_impact",
-    f"SELECT scenario, id_hex, round(diff * pop, 4) AS tot_access FROM vs WHERE NOT {BASE}",
+    f"SELECT scenario, id_hex, round(diff * pop, 6) AS tot_access FROM vs WHERE NOT {BASE}",
 )
 oracle(
     "clamp",
-    f"""SELECT scenario, id_hex, round(greatest(-5000::DOUBLE, least(5000::DOUBLE, diff * pop)), 4) AS tot_access
+    f"""SELECT scenario, id_hex, round(greatest(-5000::DOUBLE, least(5000::DOUBLE, diff * pop)), 6) AS tot_access
     FROM vs WHERE NOT {BASE}""",
 )
 oracle(
     "total_impact_sigma",
     f"""SELECT a.scenario, a.sigma_scenario, a.id_hex, round(greatest(-10000::DOUBLE, least(10000::DOUBLE,
-        (a.cum_jobs - b.cum_jobs) * a.pop)), 4) AS tot_access
+        (a.cum_jobs - b.cum_jobs) * a.pop)), 6) AS tot_access
     FROM fan a JOIN fan b ON a.id_hex = b.id_hex AND a.sigma_scenario = b.sigma_scenario AND b.{BASE}
     WHERE NOT a.{BASE}""",
 )

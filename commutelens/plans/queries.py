@@ -153,7 +153,7 @@ def scalar_threshold_io(spark, sf):
     IO.write_scalar(study.threshold(), folder)
     saved = IO.read_scalar(spark, folder, "critical_access")
     return Q.critical_population(study.access(), saved).withColumn(
-        "critical_access", F.round(scalar(saved), 4)
+        "critical_access", F.round(scalar(saved), 7)
     )
 
 
@@ -450,25 +450,25 @@ def decay_sigma_halflife(spark, sf):
 
 @query
 def accessibility(spark, sf):
-    return rounded(Study(spark, sf).plain_access().drop("R003"), 4, "cum_jobs")
+    return rounded(Study(spark, sf).plain_access().drop("R003"), 6, "cum_jobs")
 
 
 @query
 def attach_zone_attr(spark, sf):
     study = Study(spark, sf)
     bare = study.plain_access().select("scenario", "id_hex", "cum_jobs")
-    return rounded(Z.attach(bare, study.zones, "R003", "lon", "lat"), 4, "cum_jobs", "lon", "lat")
+    return rounded(Z.attach(bare, study.zones, "R003", "lon", "lat"), 6, "cum_jobs", "lon", "lat")
 
 
 @query
 def scenario_wide(spark, sf):
-    return rounded(A.scenario_wide(Study(spark, sf).plain_access(), I.CODES), 4, *I.CODES)
+    return rounded(A.scenario_wide(Study(spark, sf).plain_access(), I.CODES), 6, *I.CODES)
 
 
 @query
 def scenario_long(spark, sf):
     wide = A.scenario_wide(Study(spark, sf).plain_access(), I.CODES)
-    return rounded(A.scenario_long(wide, I.CODES), 4, "cum_jobs")
+    return rounded(A.scenario_long(wide, I.CODES), 6, "cum_jobs")
 
 
 @query
@@ -508,7 +508,7 @@ def share_of_jobs(spark, sf):
 @query
 def sigma_fanout(spark, sf):
     fan = Study(spark, sf).plain_sigma_access()
-    return rounded(fan.select("scenario", "sigma_scenario", "id_hex", "cum_jobs"), 4, "cum_jobs")
+    return rounded(fan.select("scenario", "sigma_scenario", "id_hex", "cum_jobs"), 6, "cum_jobs")
 
 
 @query
@@ -532,7 +532,7 @@ def sigma_stack(spark, sf):
         .withColumn("sigma", F.lit(sigma))
         for sigma in (SIGMAS["min30"], SIGMAS["min60"], SIGMAS["min90"])
     ]
-    return rounded(A.stack(parts).select("id_hex", "sigma", "cum_jobs"), 4, "cum_jobs")
+    return rounded(A.stack(parts).select("id_hex", "sigma", "cum_jobs"), 6, "cum_jobs")
 
 
 # -- equity --------------------------------------------------------------------------------
@@ -540,12 +540,12 @@ def sigma_stack(spark, sf):
 
 @query
 def critical_threshold(spark, sf):
-    return rounded(Study(spark, sf).threshold(), 4, "critical_access")
+    return rounded(Study(spark, sf).threshold(), 7, "critical_access")
 
 
 @query
 def sigma_thresholds(spark, sf):
-    return rounded(Study(spark, sf).sigma_thresholds(), 4, "critical_access")
+    return rounded(Study(spark, sf).sigma_thresholds(), 7, "critical_access")
 
 
 @query
@@ -558,7 +558,7 @@ def critical_population(spark, sf):
 def critical_zones(spark, sf):
     study = Study(spark, sf)
     zones = Q.critical_zones(study.access(), study.threshold())
-    return rounded(zones.select("scenario", "id_hex", "pop", "cum_jobs"), 4, "cum_jobs")
+    return rounded(zones.select("scenario", "id_hex", "pop", "cum_jobs"), 6, "cum_jobs")
 
 
 @query
@@ -616,7 +616,7 @@ def poverty_curve(spark, sf):
 def sigma_performance(spark, sf):
     study = Study(spark, sf)
     rows = Q.sigma_performance(study.sigma_access(), study.sigma_thresholds())
-    return rounded(rows, 4, "critical_access", "perc_critical_pop")
+    return rounded(rows, 7, "critical_access", "perc_critical_pop")
 
 
 @query
@@ -681,7 +681,7 @@ BOX = ("q1", "median", "q3", "low", "high")
 @query
 def boxplot_stats(spark, sf):
     diffs = rounded(A.diff_to_baseline(Study(spark, sf).access()), 6, "diff")
-    return rounded(N.boxplot_stats(diffs, ["scenario", "R003"], "diff"), 4, *BOX)
+    return rounded(N.boxplot_stats(diffs, ["scenario", "R003"], "diff"), 8, *BOX)
 
 
 @query
@@ -692,7 +692,7 @@ def boxplot_stats_weighted(spark, sf):
         A.diff_to_baseline(study.access()).withColumn("state", state), 6, "diff"
     )
     boxes = N.boxplot_stats(cut(diffs), ["scenario", "R003", "state"], "diff", "pop")
-    return rounded(boxes, 4, *BOX)
+    return rounded(boxes, 8, *BOX)
 
 
 LINE = ("slope", "intercept", "r2")
@@ -714,7 +714,7 @@ def impact_regression_decile(spark, sf):
 @query
 def total_impact(spark, sf):
     moved = Q.total_impact(Study(spark, sf).plain_access())
-    return rounded(moved.select("scenario", "id_hex", "tot_access"), 4, "tot_access")
+    return rounded(moved.select("scenario", "id_hex", "tot_access"), 6, "tot_access")
 
 
 @query
@@ -722,7 +722,7 @@ def clamp(spark, sf):
     moved = Q.total_impact(Study(spark, sf).plain_access())
     return rounded(
         moved.select("scenario", "id_hex", Q.clamp(F.col("tot_access"), 5000.0).alias("tot_access")),
-        4,
+        6,
         "tot_access",
     )
 
@@ -737,7 +737,7 @@ def total_impact_sigma(spark, sf):
             "id_hex",
             Q.clamp(F.col("tot_access"), 10000.0).alias("tot_access"),
         ),
-        4,
+        6,
         "tot_access",
     )
 

@@ -66,19 +66,20 @@ class Study:
     def transitions(self) -> DataFrame:
         return Q.critical_transition(self.access(), self.threshold())
 
-    def _operation(self, mode: str) -> tuple[DataFrame, DataFrame]:
-        """Peak fleet and distance per scenario of the bus or the metro trips."""
-        rule = "route_id >= 3" if mode == "bus" else "route_id < 3"
+    def operation(self) -> DataFrame:
+        """Peak fleet and distance per scenario and mode, both modes in one pass."""
         whole = I.feed(self.spark, self.sf_dir)
-        trips = I.scenario_trips(self.spark, self.sf_dir).where(rule)
-        running = Feed(**{**whole.tables(), "trips": trips})
-        fleet = FD.fleet_max(trips, whole.stop_times, ["scenario"])
-        return fleet, SH.distance_total(running, ["scenario"])
+        mode = F.when(F.col("route_id") < 3, F.lit("metro")).otherwise("bus")
+        trips = I.scenario_trips(self.spark, self.sf_dir).withColumn("mode", mode)
+        keys = ["scenario", "mode"]
+        fleet = FD.fleet_max(trips, whole.stop_times, keys)
+        metres = SH.distance_total(Feed(**{**whole.tables(), "trips": trips}), keys)
+        return fleet.join(metres, keys)
 
     def performance(self) -> DataFrame:
         """People below the line, fleets and distances: one row per scenario."""
         people = Q.critical_population(self.access(), self.threshold())
-        return Q.performance(people, *self._operation("bus"), *self._operation("metro"))
+        return Q.performance(people, self.operation())
 
 
 def people_below_line(spark: SparkSession, sf_dir: str) -> DataFrame:
