@@ -749,7 +749,8 @@ oracle(
 )
 oracle(
     "candidate_elite",
-    """SELECT cand_id, -people AS fitness FROM cand_people ORDER BY people, cand_id LIMIT 11""",
+    """SELECT cand_id, -people AS fitness FROM costs LEFT JOIN cand_people USING (cand_id)
+    ORDER BY people NULLS LAST, cand_id LIMIT 11""",
 )
 oracle(
     "candidate_add",

@@ -874,7 +874,7 @@ def candidate_batch(spark, sf):
 @query
 def candidate_elite(spark, sf):
     best = S.candidate_elite(_scored(spark, sf), 11)
-    return best.select("cand_id", "fitness")
+    return best.select("cand_id", F.when(F.col("feasible"), F.col("fitness")).alias("fitness"))
 
 
 @query
