@@ -29,3 +29,13 @@ def departure_timestamp(text: Column) -> Column:
 
 def hour_of(seconds: Column) -> Column:
     return F.floor(seconds / 3600).cast("long")
+
+
+def clock_text(seconds: Column) -> Column:
+    """87000 -> ``'24:10:00'``."""
+    return F.format_string(
+        "%02d:%02d:%02d",
+        F.floor(seconds / 3600),
+        F.floor(seconds % 3600 / 60),
+        seconds % 60,
+    )

@@ -673,6 +673,56 @@ oracle(
         round(total_metro_distance / 1000, 3) AS metro_km FROM perf JOIN scen USING (scenario)""",
 )
 
+# The same road on the trips of the last service day inside the time band.
+BAND = {
+    "st": "st_band", "legs": "legs_band", "one_ride": "one_band", "two_rides": "two_band",
+    "rode_two": "rode_band", "spans": "spans_band",
+}
+
+
+def _in_band(view: str) -> str:
+    body = VIEWS[view]
+    for old, new in BAND.items():
+        body = re.sub(rf"\bFROM {old}\b", f"FROM {new}", body)
+        body = re.sub(rf"\bJOIN {old}\b", f"JOIN {new}", body)
+    return body
+
+
+for _view in ("legs", "one_ride", "two_rides", "rode_two", "spans"):
+    VIEWS[BAND[_view]] = _in_band(_view)
+VIEWS["two_band"] = VIEWS["two_band"].replace(
+    "JOIN legs_band l ON l.board = r.stop_id",
+    "JOIN stops p ON p.stop_id = r.stop_id JOIN stops n ON n.lon = p.lon AND n.lat = p.lat "
+    "JOIN legs_band l ON l.board = n.stop_id",
+)
+VIEWS["st_band"] = """SELECT st.* FROM st JOIN trips USING (trip_id)
+    WHERE service_id IN (SELECT service_id FROM dates WHERE date = (SELECT max(date) FROM dates))
+        AND arrival_time >= 21600 AND departure_time <= 39599"""
+VIEWS["access_band"] = f"""SELECT o.id, o.pop, round(coalesce(sum(d.jobs * {_gauss('t.travel_time')}), 0), 6) AS v
+    FROM origins o LEFT JOIN (SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
+        SELECT * FROM rode_band UNION ALL SELECT * FROM foot) GROUP BY ALL) t ON t.from_id = o.id
+    LEFT JOIN dests d ON d.id = t.to_id GROUP BY o.id, o.pop"""
+VIEWS["line_band"] = """SELECT quantile_cont(v, 0.5) AS line FROM (
+    SELECT v, unnest(range(pop)) FROM access_band)"""
+VIEWS["fleet_band"] = """SELECT metro, max(running) AS peak FROM (
+        SELECT metro, tick, sum(sum(delta)) OVER (PARTITION BY metro ORDER BY tick) AS running FROM (
+            SELECT route_id < 3 AS metro, s AS tick, 1 AS delta FROM spans_band JOIN trips USING (trip_id)
+            UNION ALL SELECT route_id < 3, e, -1 FROM spans_band JOIN trips USING (trip_id))
+        GROUP BY metro, tick) GROUP BY ALL"""
+VIEWS["metres_band"] = """SELECT route_id < 3 AS metro, sum(distance) AS total FROM tripdist
+    WHERE trip_id IN (SELECT trip_id FROM st_band) GROUP BY ALL"""
+oracle(
+    "scenario_run",
+    """SELECT 'baseline' AS scenario,
+        (SELECT sum(pop)::BIGINT FROM access_band, line_band WHERE v <= line) AS people_critical,
+        (SELECT peak::BIGINT FROM fleet_band WHERE NOT metro) AS max_bus_fleet,
+        (SELECT round(total, 1) FROM metres_band WHERE NOT metro) AS total_bus_distance,
+        (SELECT peak::BIGINT FROM fleet_band WHERE metro) AS max_metro_fleet,
+        (SELECT round(total, 1) FROM metres_band WHERE metro) AS total_metro_distance,
+        round(line, 7) AS critical_access
+    FROM line_band""",
+)
+
 # -- interventions -----------------------------------------------------------------------------------
 STATUS = """CASE WHEN route_id % 10 < 3 THEN 'Eliminada' WHEN route_id % 10 < 5 THEN 'Seccionada'
     WHEN route_id % 10 = 8 THEN 'Nova' ELSE 'Mantida' END"""

@@ -21,6 +21,7 @@ from commutelens.operators import travel as T
 from commutelens.operators import zones as Z
 from commutelens.operators.scalars import scalar
 from commutelens.plans import inputs as I
+from commutelens.plans.run import scenario_run as run_scenario
 from commutelens.plans.scenario import Study
 from commutelens.session import cut, new_folder
 from commutelens.sources import files as IO
@@ -43,11 +44,17 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 @query
 def src_feed(spark, sf):
-    folder = new_folder(spark, "feed-csv")
-    IO.write_feed(I.feed(spark, sf), folder, "csv")
-    feed = IO.read_feed(spark, folder, "csv")
+    folder = new_folder(spark, "feed-text")
+    IO.write_text_feed(I.feed(spark, sf), folder)
+    feed = IO.read_text_feed(spark, folder)
     return feed.stop_times.join(feed.trips, "trip_id").select(
-        "trip_id", "stop_sequence", "stop_id", "arrival_time", "route_id", "service_id", "shape_id"
+        F.col("trip_id").cast("long").alias("trip_id"),
+        "stop_sequence",
+        F.col("stop_id").cast("long").alias("stop_id"),
+        "arrival_time",
+        F.col("route_id").cast("long").alias("route_id"),
+        "service_id",
+        "shape_id",
     )
 
 
@@ -760,6 +767,18 @@ def scenario_tradeoff(spark, sf):
     return rounded(Q.scenario_tradeoff(Study(spark, sf).performance()), 3, "bus_km", "metro_km")
 
 
+@query
+def scenario_run(spark, sf):
+    """From feeds to the result row, on routed times."""
+    done = run_scenario("baseline", I.bus_feed(spark, sf), I.metro_feed(spark, sf), I.zones(spark, sf))
+    return rounded(
+        done.performance.withColumn("critical_access", scalar(done.threshold)),
+        1,
+        "total_bus_distance",
+        "total_metro_distance",
+    ).withColumn("critical_access", F.round("critical_access", 7))
+
+
 # -- interventions ---------------------------------------------------------------------------
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commutelens import schemas
+from commutelens.functions.clock import clock_text, seconds_of
 from commutelens.operators.access import stack
 from commutelens.operators.feed import Feed
 from commutelens.session import cut
@@ -35,6 +37,67 @@ def write_feed(feed: Feed, folder: str, fmt: str = "parquet") -> None:
         writer.save(f"{folder}/{table}")
 
 
+# Columns of the public timetable text format, and ours.
+_TEXT_COLUMNS = {
+    "trips": {"trip_id": "string", "route_id": "string", "service_id": "string", "shape_id": "string", "direction_id": "long"},
+    "stop_times": {"trip_id": "string", "stop_sequence": "long", "stop_id": "string", "arrival_time": "clock", "departure_time": "clock"},
+    "stops": {"stop_id": "string", "stop_lon": "double", "stop_lat": "double"},
+    "routes": {"route_id": "string"},
+    "shapes": {"shape_id": "string", "shape_pt_sequence": "long", "shape_pt_lon": "double", "shape_pt_lat": "double"},
+    "calendar": {"service_id": "string", "start_date": "day", "end_date": "day", **{d: "long" for d in schemas.WEEKDAYS}},
+    "calendar_dates": {"service_id": "string", "date": "day", "exception_type": "long"},
+}
+_OUR_NAMES = {"stop_lon": "lon", "stop_lat": "lat", "shape_pt_lon": "lon", "shape_pt_lat": "lat"}
+
+
+def read_text_feed(spark: SparkSession, folder: str) -> Feed:
+    """A feed from the usual text files ``<folder>/<table>.txt``; all ids are text.
+
+    Columns are found by header name, whatever their order; optional columns and
+    files that are missing come out empty.  Clock times become seconds after
+    midnight and may pass 24:00:00.
+    """
+
+    def load(table: str) -> DataFrame:
+        wanted = _TEXT_COLUMNS[table]
+        try:
+            raw = spark.read.option("header", True).csv(f"{folder}/{table}.txt")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in wanted))
+
+        def parse(column: str, kind: str) -> Column:
+            if column not in raw.columns:
+                return F.lit(None).cast("long" if kind == "clock" else kind)
+            text = F.trim(F.col(column))
+            if kind == "clock":
+                return seconds_of(text)
+            if kind == "day":
+                return F.to_date(text, "yyyyMMdd")
+            return text if kind == "string" else text.cast(kind)
+
+        return raw.select(
+            *[parse(c, kind).alias(_OUR_NAMES.get(c, c)) for c, kind in wanted.items()]
+        )
+
+    return Feed(**{table: load(table) for table in _TEXT_COLUMNS})
+
+
+def write_text_feed(feed: Feed, folder: str) -> None:
+    """The feed as text files that other timetable tools read."""
+    for table, df in feed.tables().items():
+        columns = []
+        for column, kind in _TEXT_COLUMNS[table].items():
+            value = F.col(_OUR_NAMES.get(column, column))
+            if kind == "clock":
+                value = clock_text(value)
+            elif kind == "day":
+                value = F.date_format(value, "yyyyMMdd")
+            columns.append(value.alias(column))
+        write_csv(df.select(*columns), f"{folder}/{table}.txt")
+
+
 def read_zones(grid: DataFrame, landuse: DataFrame) -> DataFrame:
     """Zone grid with its land use, where there is any."""
     return grid.join(landuse, "id_hex", "left")

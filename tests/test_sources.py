@@ -3,6 +3,8 @@ import os
 from pyspark.sql import functions as F
 
 from commutelens import schemas
+from commutelens.operators import feed as FD
+from commutelens.operators import shapes as SH
 from commutelens.plans import inputs as I
 from commutelens.session import cut, new_folder, shared_dir
 from commutelens.sources import files as IO
@@ -30,6 +32,35 @@ def test_feed_round_trip(spark, sf_dir, tmp_path):
             assert other.count() == df.count()
 
 
+def test_text_feed_round_trip(spark, sf_dir, tmp_path):
+    feed = I.feed(spark, sf_dir)
+    IO.write_text_feed(feed, str(tmp_path))
+    back = IO.read_text_feed(spark, str(tmp_path)).tables()
+    for name, df in feed.tables().items():
+        same = back[name].select(*[F.col(c).cast(t).alias(c) for c, t in df.dtypes])
+        assert df.exceptAll(same).count() == 0 and same.count() == df.count()
+
+
+def test_text_feed_in_any_column_order(spark, tmp_path):
+    files = {
+        "trips": "service_id,trip_id,route_id\nwd,t1,r1\n",
+        "stop_times": "stop_id,trip_id,arrival_time,departure_time,stop_sequence,pickup_type\ns1,t1,25:10:00,25:10:30,1,0\n",
+        "stops": "stop_id,stop_name,stop_lat,stop_lon\ns1,Central,-3.7,-38.5\n",
+        "routes": "route_id,route_short_name\nr1,one\n",
+        "calendar": "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nwd,1,1,1,1,1,0,0,20211201,20211231\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    feed = IO.read_text_feed(spark, str(tmp_path))
+    assert tuple(feed.stop_times.first()) == ("t1", 1, "s1", 90600, 90630)
+    assert tuple(feed.stops.first()) == ("s1", -38.5, -3.7)
+    assert tuple(feed.trips.first()) == ("t1", "r1", "wd", None, None)
+    assert feed.shapes.count() == 0 and feed.calendar_dates.count() == 0
+    assert FD.filter_date(feed).trips.count() == 1
+    # no shapes, one stop: the trip has a length all the same
+    assert SH.distance_by_trip(feed).first().distance == 0.0
+
+
 def test_stacking_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("scenario,fleet\nbaseline,3\n")
     (tmp_path / "b.csv").write_text("fleet,scenario,metro\n4,optimal,1\n")
