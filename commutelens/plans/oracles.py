@@ -174,6 +174,10 @@ VIEWS: dict[str, str] = {
 }
 
 
+# views that SQL computes once instead of merging them into the query
+STORED = {"legs_here", "one_band"}
+
+
 def _needs(sql: str, found: dict[str, str]) -> None:
     for name, body in VIEWS.items():
         if name not in found and re.search(rf"\b{name}\b", sql):
@@ -184,7 +188,9 @@ def _needs(sql: str, found: dict[str, str]) -> None:
 def oracle(name: str, sql: str) -> None:
     found: dict[str, str] = {}
     _needs(sql, found)
-    views = ",\n".join(f"{view} AS ({body})" for view, body in found.items())
+    views = ",\n".join(
+        f"{view} AS {'MATERIALIZED ' if view in STORED else ''}({body})" for view, body in found.items()
+    )
     # a query that opens with a comma goes on with views of its own
     ORACLES[name] = f"WITH {views}\n{sql}"
 
@@ -690,11 +696,10 @@ def _in_band(view: str) -> str:
 
 for _view in ("legs", "one_ride", "two_rides", "rode_two", "spans"):
     VIEWS[BAND[_view]] = _in_band(_view)
-VIEWS["two_band"] = VIEWS["two_band"].replace(
-    "JOIN legs_band l ON l.board = r.stop_id",
-    "JOIN stops p ON p.stop_id = r.stop_id JOIN stops n ON n.lon = p.lon AND n.lat = p.lat "
-    "JOIN legs_band l ON l.board = n.stop_id",
-)
+# rides one can board after alighting at a stop: those of all stops at the same place
+VIEWS["legs_here"] = """SELECT p.stop_id AS board, l.dep, l.alight, l.arr FROM legs_band l
+    JOIN stops n ON n.stop_id = l.board JOIN stops p ON p.lon = n.lon AND p.lat = n.lat"""
+VIEWS["two_band"] = VIEWS["two_band"].replace("JOIN legs_band l", "JOIN legs_here l")
 VIEWS["st_band"] = """SELECT st.* FROM st JOIN trips USING (trip_id)
     WHERE service_id IN (SELECT service_id FROM dates WHERE date = (SELECT max(date) FROM dates))
         AND arrival_time >= 21600 AND departure_time <= 39599"""
