@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commutelens.llm import mix as MX
+from commutelens.llm import rules as RU
 from commutelens.llm.common import table
+from commutelens.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +32,12 @@ def op1_mix(spark, sf):
         "target",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+@query
+def op8_rules(spark, sf):
+    stats = cut(RU.statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text"), "rules-stats")
+    rules = RU.learn(stats, table(spark, sf, "labels"))
+    return RU.judge(stats, rules).select(
+        "doc_id", *[F.col(f"_stats.{c}") for c in RU.BASE], "base_failed", "kept", "rule"
+    )
