@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commutelens.llm import lines as LN
 from commutelens.llm import mix as MX
 from commutelens.llm import rules as RU
+from commutelens.llm import simhash as SH
 from commutelens.llm.common import table
 from commutelens.session import cut
 
@@ -34,6 +36,18 @@ def op1_mix(spark, sf):
     )
 
 
+@query
+def op2_lines(spark, sf):
+    return LN.dedup(table(spark, sf, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "n_lines", "n_removed", "text"
+    )
+
+
+@query
+def op6_simhash(spark, sf):
+    return SH.near_dedup(table(spark, sf, "documents"))
+
+
 @query
 def op8_rules(spark, sf):
     stats = cut(RU.statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text"), "rules-stats")

@@ -34,3 +34,27 @@ SELECT doc_id, size, source_size, target,
        CAST(least(floor(u + rate * k) - floor(u + rate * (k - 1)), 3) AS BIGINT) * size AS taken
 FROM ranked
 """
+
+ORACLES["op2_lines"] = r"""
+WITH parts AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents
+), keyed AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS shown FROM parts
+), spread AS (
+  SELECT shown, min(struct_pack(d := doc_id, p := place)) AS origin
+  FROM keyed WHERE shown <> '' GROUP BY shown HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 10
+), marked AS (
+  SELECT k.*, s.shown IS NOT NULL AND (s.origin.d <> k.doc_id OR s.origin.p <> k.place) AS gone
+  FROM keyed k LEFT JOIN spread s ON k.shown = s.shown
+), kept AS (
+  SELECT doc_id, CAST(count(*) FILTER (shown <> '') AS BIGINT) AS n_lines,
+         CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
