@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commutelens.llm import decon as DC
 from commutelens.llm import lines as LN
 from commutelens.llm import mix as MX
 from commutelens.llm import rules as RU
@@ -55,3 +56,8 @@ def op8_rules(spark, sf):
     return RU.judge(stats, rules).select(
         "doc_id", *[F.col(f"_stats.{c}") for c in RU.BASE], "base_failed", "kept", "rule"
     )
+
+
+@query
+def op9_decon(spark, sf):
+    return DC.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
