@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from commutelens.llm import decon as DC
 from commutelens.llm import lines as LN
 from commutelens.llm import mix as MX
+from commutelens.llm import qda as QD
 from commutelens.llm import rules as RU
+from commutelens.llm import secret_scan as SE
 from commutelens.llm import simhash as SH
 from commutelens.llm.common import table
 from commutelens.session import cut
@@ -49,6 +51,11 @@ def op6_simhash(spark, sf):
     return SH.near_dedup(table(spark, sf, "documents"))
 
 
+@query
+def op7_secrets(spark, sf):
+    return SE.find(table(spark, sf, "documents"))
+
+
 @query
 def op8_rules(spark, sf):
     stats = cut(RU.statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text"), "rules-stats")
@@ -61,3 +68,8 @@ def op8_rules(spark, sf):
 @query
 def op9_decon(spark, sf):
     return DC.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op10_qda(spark, sf):
+    return QD.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
