@@ -14,6 +14,7 @@ from commutelens.llm import qda as QD
 from commutelens.llm import rules as RU
 from commutelens.llm import secret_scan as SE
 from commutelens.llm import simhash as SH
+from commutelens.llm import urls as UR
 from commutelens.llm.common import table
 from commutelens.session import cut
 
@@ -46,6 +47,11 @@ def op2_lines(spark, sf):
     )
 
 
+@query
+def op4_urls(spark, sf):
+    return UR.judge(table(spark, sf, "pages"))
+
+
 @query
 def op6_simhash(spark, sf):
     return SH.near_dedup(table(spark, sf, "documents"))
