@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from commutelens.llm import decon as DC
 from commutelens.llm import lines as LN
+from commutelens.llm import lpf as LP
 from commutelens.llm import mix as MX
 from commutelens.llm import qda as QD
 from commutelens.llm import rules as RU
@@ -52,6 +53,11 @@ def op4_urls(spark, sf):
     return UR.judge(table(spark, sf, "pages"))
 
 
+@query
+def op5_lpf(spark, sf):
+    return LP.dedup(table(spark, sf, "documents")).drop("kept")
+
+
 @query
 def op6_simhash(spark, sf):
     return SH.near_dedup(table(spark, sf, "documents"))
