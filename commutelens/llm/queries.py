@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from commutelens.llm import decon as DC
 from commutelens.llm import lines as LN
 from commutelens.llm import lpf as LP
+from commutelens.llm import maxent as MA
 from commutelens.llm import mix as MX
 from commutelens.llm import qda as QD
 from commutelens.llm import rules as RU
@@ -48,6 +49,11 @@ def op2_lines(spark, sf):
     )
 
 
+@query
+def op3_maxent(spark, sf):
+    return MA.score(table(spark, sf, "documents"))
+
+
 @query
 def op4_urls(spark, sf):
     return UR.judge(table(spark, sf, "pages"))
