@@ -40,6 +40,14 @@ def held_out(doc_id: str | Column, folds: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % folds == 0, F.lit(False))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def blocks_of_text(df: DataFrame, name: str = "text") -> DataFrame:
     """``df`` with a text column as UTF-8 bytes, which Python reads without decoding."""
     return df.withColumn(name, text_of(name).cast("binary"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import text_of
+from commutelens.llm.common import fresh, text_of
 from commutelens.session import cut
 
 MIN_SITES = 10
@@ -78,14 +78,21 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     )
 
 
-def dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """``docs`` without boilerplate lines, and ``n_lines``, ``n_removed``.
+def dedup(
+    docs: DataFrame,
+    min_sites: int = MIN_SITES,
+    site: str = "source",
+    lines_in: str = "n_lines",
+    removed: str = "n_removed",
+) -> DataFrame:
+    """``docs`` without boilerplate lines, and ``n_lines``, ``n_removed`` by the names given.
 
     ``text`` holds the lines that stay; ``n_lines`` counts lines with a visible character.
     A null text stays null and has no lines; a null site is a site of its own; blank lines
     always stay.  Rows that repeat an id and a text keep the same lines.  Columns of
-    ``docs`` called ``n_lines`` or ``n_removed`` are replaced.
+    ``docs`` that have the names of the two counts are replaced.
     """
+    own, side = fresh(docs, "_own"), fresh(docs, "_gone")
     lines = lines_of(docs, site)
     found = cut(boilerplate(lines, min_sites), "lines-boilerplate")
     is_first = (
@@ -98,19 +105,18 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") ->
         .join(found, "line")
         .where(~is_first)
         .groupBy("doc_id", "_text")
-        .agg(F.collect_set("at").alias("_gone"))
-        .withColumnsRenamed({"doc_id": "_id", "_text": "_of"})
+        .agg(F.collect_set("at").alias("at"))
+        .select(F.struct("doc_id", "_text", "at").alias(side))
     )
-    base = docs.drop("n_lines", "n_removed").withColumn("_text", F.xxhash64("text"))
-    joined = base.join(
-        gone, base["doc_id"].eqNullSafe(gone["_id"]) & (base["_text"] == gone["_of"]), "left"
-    )
-    every = F.split("text", "\n")
+    base = docs.drop(lines_in, removed).withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col(own) == F.col(f"{side}._text"))
+    joined = base.join(gone, same, "left")
+    every, gone_at = F.split("text", "\n"), F.col(f"{side}.at")
     visible = F.filter(F.split(text_of("text"), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    stay = F.filter(every, lambda x, i: ~F.array_contains("_gone", i))
+    stay = F.filter(every, lambda x, i: ~F.array_contains(gone_at, i))
     return joined.select(
-        *[c for c in base.columns if c not in ("_text", "text")],
-        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
-        F.size(visible).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[c for c in base.columns if c not in (own, "text")],
+        F.when(gone_at.isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
+        F.size(visible).cast("long").alias(lines_in),
+        F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias(removed),
     )

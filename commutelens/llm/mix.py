@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import SPACES, text_of
+from commutelens.llm.common import SPACES, fresh, text_of
 from commutelens.operators.running import running_total
 from commutelens.session import cut
 
@@ -130,16 +130,19 @@ def emit(docs: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
     ``size`` is the expression the plan's sizes were made with.  A column of ``docs``
     called ``copy`` is replaced.
     """
-    a = docs.drop("copy").withColumn("_size", size)
-    b = plan.where("copies > 0").dropDuplicates(["doc_id", "source", "size"]).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "copies"
+    words, side = fresh(docs, "_words"), fresh(docs, "_plan")
+    a = docs.drop("copy").withColumn(words, size)
+    b = (
+        plan.where("copies > 0")
+        .dropDuplicates(["doc_id", "source", "size"])
+        .select(F.struct("doc_id", "source", "size", "copies").alias(side))
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_of"))
-        & (F.col("_size") == F.col("_words"))
+        F.col("doc_id").eqNullSafe(F.col(f"{side}.doc_id"))
+        & F.col("source").eqNullSafe(F.col(f"{side}.source"))
+        & (F.col(words) == F.col(f"{side}.size"))
     )
     return a.join(b, same).select(
-        *[c for c in a.columns if c != "_size"],
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        *[c for c in a.columns if c != words],
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{side}.copies"))).alias("copy"),
     )

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import UPPER, bind, text_of, words
+from commutelens.llm.common import UPPER, bind, fresh, text_of, words
 from commutelens.session import cut
 
 SYMBOLS = "#*$%&|<>"
@@ -62,8 +62,8 @@ def _dup_lines(text: Column) -> Column:
     return bind(with_word, lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts of its ``text`` in one struct column ``_stats``.
+def statistics(docs: DataFrame, into: str = "_stats") -> DataFrame:
+    """``docs`` with the counts of its ``text`` in one struct column ``into``.
 
     A null text counts as empty and has zeros everywhere.  Texts are taken whole.
     """
@@ -72,13 +72,14 @@ def statistics(docs: DataFrame) -> DataFrame:
         words(text),
         lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("repeated")),
     )
-    counts = docs.withColumn("_words", of_words)
+    held = fresh(docs, "_words")
+    counts = docs.withColumn(held, of_words)
     longs = {
-        "n_words": F.col("_words.n"),
+        "n_words": F.col(f"{held}.n"),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")),
         "n_symbols": _count(text, SYMBOLS),
         "n_dup_lines": _dup_lines(text),
-        "n_repeat_words": F.col("_words.repeated"),
+        "n_repeat_words": F.col(f"{held}.repeated"),
         "n_lines": _count(text, "\n") + 1,
         "n_upper": _count(text, UPPER),
         "n_digits": _count(text, "0123456789"),
@@ -86,8 +87,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_stops": _count(text, ".,;:"),
     }
     return counts.withColumn(
-        "_stats", F.struct(*[c.cast("long").alias(name) for name, c in longs.items()])
-    ).drop("_words")
+        into, F.struct(*[c.cast("long").alias(name) for name, c in longs.items()])
+    ).drop(held)
 
 
 def features(stats: str = "_stats") -> dict[str, Column]:
@@ -264,19 +265,24 @@ def learn(stats: DataFrame, labels: DataFrame, how: Learner = Learner()) -> list
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], stats: str = "_stats") -> Column:
     """The first rule that holds, as text; null where none does."""
-    named = features()
+    named = features(stats)
     out = None
     for rule in rules:
         out = (F if out is None else out).when(rule.column(named), F.lit(str(rule)))
     return F.lit(None).cast("string") if out is None else out
 
 
+def keeps(rules: list[Rule], stats: str = "_stats") -> Column:
+    """Whether neither the base rule nor a learned one rejects a document."""
+    return ~base_failed(stats) & verdict(rules, stats).isNull()
+
+
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` (of :func:`statistics`) with ``base_failed``, ``rule`` and ``kept``."""
     return (
         docs.withColumn("base_failed", base_failed())
         .withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
-        .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+        .withColumn("kept", keeps(rules))
     )

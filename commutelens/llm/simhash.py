@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import blocks_of_text
+from commutelens.llm.common import blocks_of_text, fresh
 from commutelens.llm.components import components
 from commutelens.session import cut
 
@@ -224,13 +224,14 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Columns stay as they are; ids that are null come after all others.
     """
-    own = F.xxhash64("text")
-    marked = cut(fingerprints(docs.withColumn("_text", own), ["doc_id", "_text"]), "simhash-marked")
+    own, side = fresh(docs, "_own"), fresh(docs, "_stay")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    marked = cut(fingerprints(hashed, ["doc_id", "_text"]), "simhash-marked")
     found = groups(marked, radius)
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_text")
     nodes = marked.groupBy("fp").agg(F.min(place).alias("p")).join(found, "fp")
     chosen = nodes.groupBy("root").agg(F.min("p").alias("p"))
-    stay = chosen.select(F.col("p.doc_id").alias("_id"), F.col("p._text").alias("_of"))
-    mine = docs.withColumn("_text", own)
-    kept = mine.join(stay, mine["doc_id"].eqNullSafe(stay["_id"]) & (mine["_text"] == stay["_of"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    stay = chosen.select(F.col("p").alias(side))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col(own) == F.col(f"{side}._text"))
+    kept = docs.withColumn(own, F.xxhash64("text")).join(stay, same, "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns)
