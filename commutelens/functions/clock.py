@@ -13,13 +13,13 @@ def to_seconds(text: str) -> int:
 
 
 def seconds_of(text: Column) -> Column:
-    """The same for a column of text."""
+    """The same for a column of text; NULL for a blank or broken clock time."""
     parts = F.split(text, ":")
-    return (
-        parts.getItem(0).cast("long") * 3600
-        + parts.getItem(1).cast("long") * 60
-        + parts.getItem(2).cast("long")
-    )
+
+    def part(n: int) -> Column:
+        return F.get(parts, F.lit(n)).try_cast("long")
+
+    return part(0) * 3600 + part(1) * 60 + part(2)
 
 
 def departure_timestamp(text: Column) -> Column:

@@ -89,7 +89,7 @@ def transition_per_sigma(
     )
     return (
         with_baseline(access, ["sigma_scenario"], baseline)
-        .join(F.broadcast(thresholds), "sigma_scenario")
+        .join(thresholds, "sigma_scenario")
         .withColumn("state", state)
     )
 
@@ -145,21 +145,33 @@ def critical_diff_decile(
 
 
 def poverty_curve(
-    access: DataFrame, total_jobs: DataFrame, steps: int = 20
+    access: DataFrame, total_jobs: DataFrame, steps: int = 20, baseline: str = BASELINE
 ) -> DataFrame:
     """Share of people reaching at most a share ``p`` of all jobs, p = 0 .. 1.
 
-    A zone counts from the first step that reaches its value, so map tasks reduce
-    the table to one row per scenario and step before anything is shuffled.
+    A zone counts from the first step that reaches its value.  That step is computed from the
+    value, zones are summed up by it, and only these few sums are carried on to later steps.
     """
-    people = scalar(access.where(F.col("scenario") == BASELINE).agg(F.sum("pop")))
-    step = F.explode(F.sequence(F.lit(0), F.lit(steps)))
-    p = F.col("_step") / steps
-    return (
-        access.select("scenario", "pop", "cum_jobs", step.alias("_step"))
-        .where(F.col("cum_jobs") - p * scalar(total_jobs) <= 0)
-        .groupBy("scenario", p.alias("poverty_threshold"))
+    people = scalar(access.where(F.col("scenario") == baseline).agg(F.sum("pop")))
+    jobs = scalar(total_jobs)
+    near = F.floor(F.coalesce(F.try_divide(F.col("cum_jobs") * steps, F.col("_jobs")), F.lit(0.0))).cast("int")
+    # rounding may put the estimate one step off on either side
+    around = F.sequence(F.greatest(near - 1, F.lit(0)), F.greatest(near + 1, F.lit(0)))
+    first = F.array_min(
+        F.filter(around, lambda s: (F.col("cum_jobs") - s / steps * F.col("_jobs") <= 0) & (s <= steps))
+    )
+    by_step = (
+        access.select("scenario", "pop", "cum_jobs", jobs.alias("_jobs"))
+        .withColumn("_first", first)
+        .where("_first IS NOT NULL")
+        .groupBy("scenario", "_first")
         .agg(F.sum("pop").alias("_pop"))
+    )
+    # at most one row per scenario and step from here on
+    return (
+        by_step.select("scenario", "_pop", F.explode(F.sequence(F.col("_first"), F.lit(steps))).alias("_step"))
+        .groupBy("scenario", (F.col("_step") / steps).alias("poverty_threshold"))
+        .agg(F.sum("_pop").alias("_pop"))
         .select("scenario", "poverty_threshold", ratio(F.col("_pop"), people).alias("share"))
     )
 
@@ -168,7 +180,7 @@ def sigma_performance(access: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Critical people and their share, per scenario and sigma."""
     below = F.col("cum_jobs") <= F.col("critical_access")
     return (
-        access.join(F.broadcast(thresholds), "sigma_scenario")
+        access.join(thresholds, "sigma_scenario")
         .groupBy("scenario", "sigma_scenario", "critical_access")
         .agg(
             F.sum(F.when(below, F.col("pop")).otherwise(0)).alias("critical_pop"),

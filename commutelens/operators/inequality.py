@@ -156,7 +156,7 @@ def weighted_histogram_sigma(
 ) -> DataFrame:
     """The same per scenario and sigma, each with its own range.
 
-    There is one range per scenario and named sigma, a bounded table to broadcast.
+    The table of ranges has one row per scenario and sigma; Spark picks the join by its size.
     """
     panel = ["scenario", "sigma_scenario"]
     span = access.groupBy(*panel).agg(
@@ -165,7 +165,7 @@ def weighted_histogram_sigma(
     index = _bin(F.col("cum_jobs"), F.col("_low"), F.col("_high"), bins)
     below = F.when(F.col("cum_jobs") < F.col("critical_access"), F.col("pop")).otherwise(0)
     return (
-        access.join(F.broadcast(span.join(F.broadcast(thresholds), "sigma_scenario")), panel)
+        access.join(span.join(thresholds, "sigma_scenario"), panel)
         .groupBy(*panel, index.alias("bin"))
         .agg(F.sum("pop").alias("pop"), F.sum(below).alias("pop_critical"))
     )

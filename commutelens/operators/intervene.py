@@ -9,6 +9,7 @@ from commutelens.functions.labels import ELIMINATED, KEPT, REDUCED
 from commutelens.operators.feed import daily_frequency
 from commutelens.operators.shapes import route_shape
 from commutelens.operators.scalars import scalar
+from commutelens.session import cut
 
 
 def route_status(
@@ -28,6 +29,11 @@ def route_status(
     return gone.unionByName(running)
 
 
+def with_line(routes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The line of each route's ``shape_id``; routes without shape points stay."""
+    return routes.join(lines.select("shape_id", "line"), "shape_id", "left")
+
+
 def frequency_reduction(old_trips: DataFrame, new_trips: DataFrame) -> DataFrame:
     """Share of each route's trips that is cut; NULL when the route is gone."""
     before = daily_frequency(old_trips).withColumnRenamed("daily_frequency", "bl_freq")
@@ -59,14 +65,23 @@ def reduction_histogram(
     )
 
 
-def reduction_clusters(reductions: DataFrame, k: int = 3, seed: int = 2) -> DataFrame:
-    """k-means on the one column ``reduction``, clusters numbered by their centre."""
+def reduction_clusters(
+    reductions: DataFrame, k: int = 3, seed: int = 2, tries: int = 8
+) -> DataFrame:
+    """k-means on the one column ``reduction``, clusters numbered by their centre.
+
+    Of ``tries`` starts the clustering of least cost is kept.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     known = reductions.where(F.col("reduction").isNotNull())
-    points = known.withColumn("_point", array_to_vector(F.array("reduction")))
-    model = KMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(points)
+    points = cut(known).withColumn("_point", array_to_vector(F.array("reduction")))
+    fits = [
+        KMeans(k=k, seed=seed + i, featuresCol="_point", predictionCol="_cluster").fit(points)
+        for i in range(tries)
+    ]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     # k numbers, whatever the data: the only values that come to the driver
     centres = [float(c[0]) for c in model.clusterCenters()]
     rank = F.lit(None)

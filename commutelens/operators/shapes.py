@@ -169,20 +169,18 @@ def with_shapes(feed: Feed) -> Feed:
     return Feed(**{**feed.tables(), "trips": trips, "shapes": feed.shapes.unionByName(points)})
 
 
-def shapes_to_lines(shapes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Ordered points per shape, as ``(shape_id, part, line)``.
+def shapes_to_lines(shapes: DataFrame) -> DataFrame:
+    """``(shape_id, line)``: the points of each shape in order, one line however many they are.
 
-    A part holds at most ``block`` sequence numbers, so a row stays small however
-    long the shape is; all points are kept.
+    A line is one value, so its points come together; points are first put together
+    where they are read.
     """
-    part = F.floor(F.col("shape_pt_sequence") / block).alias("part")
     point = F.struct("shape_pt_sequence", "lon", "lat")
     return (
-        shapes.groupBy("shape_id", part)
+        shapes.groupBy("shape_id")
         .agg(F.array_sort(F.collect_list(point)).alias("points"))
         .select(
             "shape_id",
-            "part",
             F.transform(
                 "points", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
             ).alias("line"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,19 @@ def uncovered_origins(origins: DataFrame, ttm: DataFrame) -> DataFrame:
     return origins.select("id").join(seen, "id", "left_anti")
 
 
+def origin_coverage(origins: DataFrame, ttm: DataFrame, scenarios: Sequence[str]) -> DataFrame:
+    """Per scenario, how many origins some travel time starts from, and how many none does."""
+    every = record(origins.agg(F.count("*").alias("n")))["n"]
+    seen = ttm.select("scenario", F.col("from_id").alias("id")).distinct().join(origins.select("id"), "id", "left_semi")
+    named = origins.sparkSession.createDataFrame([(s,) for s in scenarios], "scenario string")
+    counted = seen.groupBy("scenario").agg(F.count("*").alias("covered"))
+    return named.join(counted, "scenario", "left").select(
+        "scenario",
+        F.coalesce("covered", F.lit(0)).alias("covered"),
+        (every - F.coalesce("covered", F.lit(0))).alias("uncovered"),
+    )
+
+
 def attach(df: DataFrame, zones: DataFrame, *columns: str) -> DataFrame:
     """Left join of zone columns on ``id_hex``."""
     return df.join(zones.select("id_hex", *columns), "id_hex", "left")

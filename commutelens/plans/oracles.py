@@ -185,16 +185,44 @@ def _needs(sql: str, found: dict[str, str]) -> None:
             found[name] = body
 
 
-def oracle(name: str, sql: str) -> None:
+def oracle(name: str, sql: str, stored: set[str] = STORED) -> None:
     found: dict[str, str] = {}
     _needs(sql, found)
     views = ",\n".join(
-        f"{view} AS {'MATERIALIZED ' if view in STORED else ''}({body})" for view, body in found.items()
+        f"{view} AS {'MATERIALIZED ' if view in stored else ''}({body})" for view, body in found.items()
     )
     # a query that opens with a comma goes on with views of its own
     ORACLES[name] = f"WITH {views}\n{sql}"
 
 
+def _summary_of(trips: str, by_date: bool) -> str:
+    """The summary of a feed cut down to some trips and what they need."""
+    days = f"WHERE service_id IN (SELECT service_id FROM {trips})"
+    return f"""SELECT 'trips' AS item, count(*) AS n_rows, count(DISTINCT trip_id) AS n_ids,
+        NULL::BIGINT AS first_value, NULL::BIGINT AS last_value FROM {trips}
+    UNION ALL SELECT 'routes', count(DISTINCT route_id), count(DISTINCT route_id), NULL, NULL FROM {trips}
+    UNION ALL SELECT 'stops', count(*), count(DISTINCT stop_id), NULL, NULL FROM stops
+        WHERE stop_id IN (SELECT stop_id FROM st WHERE trip_id IN (SELECT trip_id FROM {trips}))
+    UNION ALL SELECT 'shapes', count(*), count(DISTINCT shape_id), min(shape_pt_sequence),
+        max(shape_pt_sequence) FROM shapes WHERE shape_id IN (SELECT shape_id FROM {trips})
+    UNION ALL SELECT 'stop_times', count(*), count(DISTINCT trip_id), min(arrival_time),
+        max(departure_time) FROM st WHERE trip_id IN (SELECT trip_id FROM {trips})
+    UNION ALL SELECT 'calendar', count(*), count(*), 20211201, 20211231
+        FROM (SELECT DISTINCT service_id FROM trips {days})"""
+
+
+def _loo_fleet(sql: str) -> str:
+    """``sql`` after a view ``loo`` of the fleet without each trip."""
+    return f""", ev AS (SELECT s AS tick, 1 AS delta FROM spans UNION ALL SELECT e, -1 FROM spans),
+    prof AS (SELECT tick, sum(sum(delta)) OVER (ORDER BY tick) AS running FROM ev GROUP BY tick),
+    top AS (SELECT running AS peak, count(*) AS times FROM prof
+        WHERE running = (SELECT max(running) FROM prof) GROUP BY running),
+    hits AS (SELECT spans.trip_id, count(*) AS n FROM spans JOIN prof ON prof.tick >= s AND prof.tick < e
+        JOIN top ON top.peak = prof.running GROUP BY ALL),
+    loo AS (SELECT trip_id, (peak - CASE WHEN n = times THEN 1 ELSE 0 END)::BIGINT AS max_fleet
+        FROM trips CROSS JOIN top LEFT JOIN hits USING (trip_id)) {sql}"""
+
+
 PERF = """scenario, people_critical, max_bus_fleet, round(total_bus_distance, 1) AS total_bus_distance,
     max_metro_fleet, round(total_metro_distance, 1) AS total_metro_distance"""
 
@@ -226,8 +254,9 @@ oracle("src_csv_inferred", TTM)
 oracle("src_multi_csv", f"SELECT {PERF} FROM perf")
 oracle(
     "src_file_lineage",
-    """SELECT route_id::VARCHAR AS model, count(*) AS n, round(avg(total - distance), 1) AS mean_distance
-    FROM tripdist, (SELECT sum(distance) AS total FROM tripdist) GROUP BY route_id""",
+    _loo_fleet("""SELECT route_id::VARCHAR AS model, count(*) AS n, round(avg(total - distance), 1) AS mean_distance,
+        max(max_fleet) AS max_fleet
+    FROM tripdist JOIN loo USING (trip_id), (SELECT sum(distance) AS total FROM tripdist) GROUP BY route_id"""),
 )
 oracle(
     "src_bad_rows",
@@ -249,8 +278,8 @@ oracle("sink_candidates", "SELECT generation, cand_id, trip_id FROM cands")
 # -- timetable --------------------------------------------------------------------------
 oracle(
     "feed_filter_date",
-    """SELECT trip_id, route_id, service_id FROM trips WHERE service_id IN (
-        SELECT service_id FROM dates WHERE date = (SELECT max(date) FROM dates))""",
+    ", kept AS (SELECT * FROM trips WHERE service_id IN (SELECT service_id FROM dates"
+    " WHERE date = (SELECT max(date) FROM dates))) " + _summary_of("kept", True),
 )
 oracle(
     "feed_filter_time",
@@ -264,8 +293,8 @@ oracle(
 )
 oracle(
     "feed_filter_trip_drop",
-    """SELECT trip_id, route_id, shape_id FROM trips
-    WHERE trip_id NOT IN (SELECT trip_id FROM cands)""",
+    ", kept AS (SELECT * FROM trips WHERE trip_id NOT IN (SELECT trip_id FROM cands)) "
+    + _summary_of("kept", False),
 )
 oracle(
     "feed_merge",
@@ -327,7 +356,7 @@ LINE_TEXT = """string_agg(round(lon * 1000)::BIGINT || ' ' || round(lat * 1000):
     ORDER BY shape_pt_sequence)"""
 oracle(
     "shapes_to_lines",
-    f"SELECT shape_id, 0::BIGINT AS part, {LINE_TEXT} AS line FROM shapes GROUP BY shape_id",
+    f"SELECT shape_id, {LINE_TEXT} AS line FROM shapes GROUP BY shape_id",
 )
 oracle(
     "shapes_exclude",
@@ -336,7 +365,7 @@ oracle(
 )
 oracle(
     "shapes_by_scenario",
-    f"""SELECT shape_id, 0::BIGINT AS part, {LINE_TEXT} AS line, scenario FROM shapes CROSS JOIN scen
+    f"""SELECT shape_id, {LINE_TEXT} AS line, scenario FROM shapes CROSS JOIN scen
     WHERE NOT (scenario = 'baseline' AND shape_id IN ('1-0', '2-0')) GROUP BY shape_id, scenario""",
 )
 oracle("route_shape", "SELECT route_id, arg_min(shape_id, trip_id) AS shape_id FROM trips GROUP BY ALL")
@@ -359,7 +388,9 @@ oracle("total_jobs", "SELECT total_jobs FROM tj")
 oracle("total_population", "SELECT sum(pop)::BIGINT AS total_population FROM origins")
 oracle(
     "origin_coverage",
-    "SELECT id FROM origins WHERE id NOT IN (SELECT from_id FROM ttm WHERE travel_time <= 15)",
+    """SELECT s.scenario, count(t.from_id) AS covered, count(*) - count(t.from_id) AS uncovered
+    FROM scen s CROSS JOIN origins o LEFT JOIN (SELECT DISTINCT scenario, from_id FROM ttm) t
+    ON t.scenario = s.scenario AND t.from_id = o.id GROUP BY s.scenario""",
 )
 
 # -- travel times -----------------------------------------------------------------------------
@@ -407,7 +438,7 @@ oracle(
     """SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
         SELECT * FROM rode_two UNION ALL SELECT * FROM foot) GROUP BY ALL""",
 )
-oracle("ttm_rename", "SELECT from_id, to_id, travel_time FROM ttm WHERE scenario = 'baseline'")
+oracle("ttm_rename", TTM)
 oracle(
     "od_join_ttm",
     """SELECT scenario, from_id, to_id, travel_time, 1::BIGINT AS pairs, jobs FROM odt
@@ -430,6 +461,7 @@ oracle(
         t.travel_time - b.travel_time AS diff
     FROM ttm t JOIN (SELECT * FROM ttm WHERE scenario = 'baseline') b USING (from_id, to_id)
     WHERE t.travel_time <> b.travel_time""",
+    {"ttm"},
 )
 
 # -- accessibility -----------------------------------------------------------------------------
@@ -487,8 +519,7 @@ oracle(
 )
 oracle(
     "sigma_stack",
-    f"""SELECT id_hex, sigma, {ACCESS} FROM fan
-    WHERE {BASE} AND sigma_scenario IN ('min30', 'min60', 'min90')""",
+    f"SELECT scenario, id_hex, sigma, {ACCESS} FROM fan",
 )
 
 # -- equity ---------------------------------------------------------------------------------------
@@ -626,9 +657,9 @@ def _boxes(keys: str, rows: str, repeated: str) -> str:
 
 DIFFS = f"(SELECT scenario, R003, pop, round(diff, 6) AS diff FROM vs WHERE NOT {BASE})"
 oracle("boxplot_stats", _boxes("scenario, R003", DIFFS, DIFFS))
-STATES = f"""(SELECT scenario, R003, pop, round(diff, 6) AS diff,
+STATES = f"""(SELECT scenario, R003, pop, round(diff / total_jobs, 8) AS diff,
     CASE WHEN cum_jobs <= critical_access THEN 'critical' ELSE 'not critical' END AS state
-    FROM vs, thr WHERE NOT {BASE})"""
+    FROM vs, thr, tj WHERE NOT {BASE})"""
 oracle(
     "boxplot_stats_weighted",
     _boxes("scenario, R003, state", STATES, f"(SELECT *, unnest(range(pop)) FROM {STATES})"),
@@ -733,12 +764,16 @@ STATUS = """CASE WHEN route_id % 10 < 3 THEN 'Eliminada' WHEN route_id % 10 < 5
     WHEN route_id % 10 = 8 THEN 'Nova' ELSE 'Mantida' END"""
 oracle(
     "route_status",
-    f"""SELECT route_id::DOUBLE AS route_id, arg_min(shape_id, trip_id) AS shape_id, {STATUS} AS parecer
-    FROM trips GROUP BY route_id""",
+    f"""SELECT route_id, shape_id, parecer, line FROM (
+        SELECT route_id::DOUBLE AS route_id, arg_min(shape_id, trip_id) AS shape_id, {STATUS} AS parecer
+        FROM trips GROUP BY route_id)
+    LEFT JOIN (SELECT shape_id, {LINE_TEXT} AS line FROM shapes GROUP BY shape_id) USING (shape_id)""",
 )
 oracle(
     "freq_reduction",
-    "SELECT route_id, bl_freq, opt_freq, round(reduction, 6) AS reduction FROM red",
+    f"""SELECT route_id, bl_freq, opt_freq, round(reduction, 6) AS reduction, shape_id, line FROM red
+    LEFT JOIN (SELECT route_id, arg_min(shape_id, trip_id) AS shape_id FROM trips GROUP BY ALL) USING (route_id)
+    LEFT JOIN (SELECT shape_id, {LINE_TEXT} AS line FROM shapes GROUP BY shape_id) USING (shape_id)""",
 )
 oracle(
     "freq_reduction_label",
@@ -760,6 +795,31 @@ oracle(
         round(max(reduction), 6) AS max_red FROM red""",
 )
 
+# The best three clusters of one column: both cut points between the sorted values.
+VIEWS["steps"] = """SELECT v, row_number() OVER (ORDER BY v) AS i, sum(k) OVER w AS n, sum(k * v) OVER w AS s1,
+        sum(k * v * v) OVER w AS s2 FROM (
+        SELECT reduction AS v, count(*) AS k FROM red WHERE reduction IS NOT NULL GROUP BY reduction)
+    WINDOW w AS (ORDER BY v)"""
+VIEWS["cuts"] = """SELECT a.v AS low, b.v AS high FROM steps a JOIN steps b ON a.i < b.i
+    CROSS JOIN (SELECT max(n) AS n, max_by(s1, i) AS s1, max_by(s2, i) AS s2, max(i) AS i FROM steps) z
+    WHERE b.i < z.i
+    ORDER BY a.s2 - a.s1 * a.s1 / a.n + (b.s2 - a.s2) - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.n - a.n)
+        + (z.s2 - b.s2) - (z.s1 - b.s1) * (z.s1 - b.s1) / (z.n - b.n) LIMIT 1"""
+VIEWS["clustered"] = """SELECT red.*, CASE WHEN reduction <= low THEN 1 WHEN reduction <= high THEN 2 ELSE 3
+    END::BIGINT AS cluster FROM red, cuts WHERE reduction IS NOT NULL"""
+oracle(
+    "reduction_clusters",
+    "SELECT route_id, bl_freq, opt_freq, round(reduction, 6) AS reduction, cluster FROM clustered",
+)
+oracle(
+    "cluster_summary",
+    """SELECT cluster, sum(bl_freq)::BIGINT AS bl_freq, sum(opt_freq)::BIGINT AS opt_freq,
+        (sum(bl_freq) - sum(opt_freq))::BIGINT AS trip_red, count(*) AS n,
+        round(min(reduction), 6) AS min_red, round(avg(reduction), 6) AS mean_red,
+        round(max(reduction), 6) AS max_red, reduction = 0 AS unchanged
+    FROM clustered GROUP BY cluster, reduction = 0""",
+)
+
 # -- choosing trips -------------------------------------------------------------------------------------
 oracle(
     "candidate_select",
@@ -800,7 +860,7 @@ oracle(
 oracle(
     "candidate_batch",
     """SELECT cand_id, trips, round(distance, 2) AS distance, feasible, -people AS fitness
-    FROM costs JOIN cand_people USING (cand_id)""",
+    FROM costs LEFT JOIN cand_people USING (cand_id)""",
 )
 oracle(
     "candidate_elite",
@@ -833,17 +893,7 @@ oracle(
     """SELECT trip_id, round((SELECT sum(distance) FROM tripdist) - distance, 1) AS total_distance
     FROM tripdist""",
 )
-oracle(
-    "loo_fleet",
-    """, ev AS (SELECT s AS tick, 1 AS delta FROM spans UNION ALL SELECT e, -1 FROM spans),
-    prof AS (SELECT tick, sum(sum(delta)) OVER (ORDER BY tick) AS running FROM ev GROUP BY tick),
-    top AS (SELECT running AS peak, count(*) AS times FROM prof
-        WHERE running = (SELECT max(running) FROM prof) GROUP BY running),
-    hits AS (SELECT spans.trip_id, count(*) AS n FROM spans JOIN prof ON prof.tick >= s AND prof.tick < e
-        JOIN top ON top.peak = prof.running GROUP BY ALL)
-    SELECT trip_id, (peak - CASE WHEN n = times THEN 1 ELSE 0 END)::BIGINT AS max_fleet
-    FROM trips CROSS JOIN top LEFT JOIN hits USING (trip_id)""",
-)
+oracle("loo_fleet", _loo_fleet("SELECT trip_id, max_fleet FROM loo"))
 oracle(
     "remaining_work",
     "SELECT trip_id FROM trips WHERE trip_id NOT IN (SELECT trip_id FROM cands)",

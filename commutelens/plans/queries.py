@@ -106,23 +106,30 @@ def src_multi_csv(spark, sf):
 @query
 def src_file_lineage(spark, sf):
     folder = new_folder(spark, "removal-costs")
-    lengths = SH.distance_by_trip(I.feed(spark, sf))
-    costs = S.loo_distance(lengths).join(lengths.select("trip_id", "route_id"), "trip_id")
-    IO.write_csv(
-        costs.repartition("route_id").select(
+    feed = I.feed(spark, sf)
+    lengths = cut(SH.distance_by_trip(feed))
+    costs = (
+        S.loo_distance(lengths)
+        .join(lengths.select("trip_id", "route_id"), "trip_id")
+        .join(S.loo_fleet(feed.trips, feed.stop_times), "trip_id")
+        .select(
             F.col("trip_id").cast("string").alias("scenario"),
-            F.lit(0).cast("long").alias("max_fleet"),
+            "max_fleet",
             "total_distance",
-            "route_id",
-        ),
-        folder,
-        by=["route_id"],
+            F.concat(F.col("route_id").cast("string"), F.lit(".removal.csv")).alias("file"),
+        )
     )
+    # together by file, but a route with very many trips is split
+    IO.write_csv(costs.hint("rebalance", "file"), folder, by=["file"])
     read = IO.read_matching(spark, folder, "*.csv", schemas.REMOVAL_COST)
     return (
-        IO.with_model(read, r"route_id=([0-9]+)/")
+        IO.with_model(read, r"file=([^/]+)\.removal\.csv/")
         .groupBy("model")
-        .agg(F.count("*").alias("n"), F.round(F.avg("total_distance"), 1).alias("mean_distance"))
+        .agg(
+            F.count("*").alias("n"),
+            F.round(F.avg("total_distance"), 1).alias("mean_distance"),
+            F.max("max_fleet").alias("max_fleet"),
+        )
     )
 
 
@@ -133,7 +140,7 @@ def src_bad_rows(spark, sf):
         F.col("trip_id") % 50 == 7, F.concat(F.lit("broken,"), F.col("trip_id").cast("string"))
     ).otherwise(F.concat_ws(",", "trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"))
     I.stop_times(spark, sf).select(line.alias("value")).write.text(folder)
-    good, _ = IO.read_tolerant(spark, folder, schemas.STOP_TIMES, header=False)
+    good, _, _ = IO.read_tolerant(spark, folder, schemas.STOP_TIMES, header=False)
     return good
 
 
@@ -182,8 +189,7 @@ def sink_candidates(spark, sf):
 
 @query
 def feed_filter_date(spark, sf):
-    kept = FD.filter_date(I.feed(spark, sf))
-    return kept.trips.select("trip_id", "route_id", "service_id")
+    return FD.summary(FD.filter_date(I.feed(spark, sf)))
 
 
 @query
@@ -209,8 +215,7 @@ def feed_filter_trip_keep(spark, sf):
 
 @query
 def feed_filter_trip_drop(spark, sf):
-    kept = FD.filter_trips(I.feed(spark, sf), _listed(spark, sf), keep=False)
-    return kept.trips.select("trip_id", "route_id", "shape_id")
+    return FD.summary(FD.filter_trips(I.feed(spark, sf), cut(_listed(spark, sf)), keep=False))
 
 
 @query
@@ -355,9 +360,8 @@ def total_population(spark, sf):
 
 @query
 def origin_coverage(spark, sf):
-    """Origins from which no destination is within a quarter of an hour."""
-    near = I.ttm(spark, sf).where("travel_time <= 15")
-    return Z.uncovered_origins(I.origins(spark, sf), near)
+    """Origins with and without any travel time in the whole matrix."""
+    return Z.origin_coverage(I.origins(spark, sf), I.ttm(spark, sf), I.CODES)
 
 
 # -- travel times ----------------------------------------------------------------------
@@ -376,14 +380,13 @@ def ttm_timetable(spark, sf):
 
 @query
 def ttm_rename(spark, sf):
-    raw = I.ttm(spark, sf).where("scenario = 'baseline'")
-    return T.rename_ttm(
-        raw.select(
-            F.col("from_id").alias("fromId"),
-            F.col("to_id").alias("toId"),
-            F.col("travel_time").alias("travel_time_p50"),
-        )
+    raw = I.ttm(spark, sf).select(
+        F.col("from_id").alias("fromId"),
+        F.col("to_id").alias("toId"),
+        F.col("travel_time").alias("travel_time_p50"),
+        "scenario",
     )
+    return T.rename_ttm(raw, ["scenario"])
 
 
 def _finite(df: DataFrame) -> DataFrame:
@@ -533,13 +536,14 @@ def sigma_label(spark, sf):
 @query
 def sigma_stack(spark, sf):
     study = Study(spark, sf)
+    times = cut(study.ttm)
     parts = [
-        A.accessibility(study.ttm, study.origins, study.destinations, ["baseline"], gaussian(sigma))
-        .where("scenario = 'baseline'")
-        .withColumn("sigma", F.lit(sigma))
-        for sigma in (SIGMAS["min30"], SIGMAS["min60"], SIGMAS["min90"])
+        A.accessibility(times, study.origins, study.destinations, I.CODES, gaussian(sigma)).withColumn(
+            "sigma", F.lit(sigma)
+        )
+        for sigma in SIGMAS.values()
     ]
-    return rounded(A.stack(parts).select("id_hex", "sigma", "cum_jobs"), 6, "cum_jobs")
+    return rounded(A.stack(parts).select("scenario", "id_hex", "sigma", "cum_jobs"), 6, "cum_jobs")
 
 
 # -- equity --------------------------------------------------------------------------------
@@ -687,7 +691,7 @@ BOX = ("q1", "median", "q3", "low", "high")
 
 @query
 def boxplot_stats(spark, sf):
-    diffs = rounded(A.diff_to_baseline(Study(spark, sf).access()), 6, "diff")
+    diffs = cut(rounded(A.diff_to_baseline(Study(spark, sf).access()), 6, "diff"))
     return rounded(N.boxplot_stats(diffs, ["scenario", "R003"], "diff"), 8, *BOX)
 
 
@@ -695,9 +699,10 @@ def boxplot_stats(spark, sf):
 def boxplot_stats_weighted(spark, sf):
     study = Study(spark, sf)
     state = F.when(F.col("cum_jobs") <= scalar(study.threshold()), "critical").otherwise("not critical")
-    diffs = rounded(
-        A.diff_to_baseline(study.access()).withColumn("state", state), 6, "diff"
+    shares = A.diff_to_baseline(study.access()).withColumns(
+        {"state": state, "diff": F.col("diff") / scalar(study.jobs())}
     )
+    diffs = rounded(shares, 8, "diff")
     boxes = N.boxplot_stats(cut(diffs), ["scenario", "R003", "state"], "diff", "pop")
     return rounded(boxes, 8, *BOX)
 
@@ -782,10 +787,15 @@ def scenario_run(spark, sf):
 # -- interventions ---------------------------------------------------------------------------
 
 
+def _drawn(spark, sf, routes):
+    """Routes with the line of their shape."""
+    return _line_text(V.with_line(routes, SH.shapes_to_lines(I.shapes(spark, sf))))
+
+
 @query
 def route_status(spark, sf):
     old, new = I.plan_trips(spark, sf)
-    return V.route_status(old, new, I.interventions(spark))
+    return _drawn(spark, sf, V.route_status(old, new, I.interventions(spark)))
 
 
 def _reductions(spark, sf):
@@ -794,7 +804,8 @@ def _reductions(spark, sf):
 
 @query
 def freq_reduction(spark, sf):
-    return rounded(_reductions(spark, sf), 6, "reduction")
+    shaped = _reductions(spark, sf).join(SH.route_shape(I.trips(spark, sf)), "route_id", "left")
+    return rounded(_drawn(spark, sf, shaped), 6, "reduction")
 
 
 @query
@@ -814,7 +825,11 @@ def reduction_clusters(spark, sf):
 
 @query
 def cluster_summary(spark, sf):
-    return V.cluster_summary(V.reduction_clusters(_reductions(spark, sf)), unchanged=False)
+    clusters = cut(V.reduction_clusters(_reductions(spark, sf)))
+    both = V.cluster_summary(clusters).withColumn("unchanged", F.lit(True)).unionByName(
+        V.cluster_summary(clusters, unchanged=False).withColumn("unchanged", F.lit(False))
+    )
+    return rounded(both, 6, "min_red", "mean_red", "max_red")
 
 
 @query
@@ -887,7 +902,8 @@ def candidate_fitness(spark, sf):
 
 @query
 def candidate_batch(spark, sf):
-    return rounded(_scored(spark, sf).where("feasible"), 2, "distance")
+    fitness = F.when(F.col("feasible"), F.col("fitness"))
+    return rounded(_scored(spark, sf).withColumn("fitness", fitness), 2, "distance")
 
 
 @query

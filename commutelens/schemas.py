@@ -41,7 +41,6 @@ GRID = _struct(id_hex=STRING, lon=DOUBLE, lat=DOUBLE)
 LANDUSE = _struct(
     id_hex=STRING, P013=LONG, P014=LONG, P015=LONG, R003=LONG, T002=LONG, T003=LONG
 )
-TTM_FILE = _struct(from_id=STRING, to_id=STRING, travel_time=LONG)
 TTM = _struct(scenario=STRING, from_id=STRING, to_id=STRING, travel_time=LONG)
 PERFORMANCE = _struct(
     scenario=STRING,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,20 +35,49 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` when set.
+    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only when the session names none (tests, local runs) a temporary one is made.
+    Where that is not set, the warehouse serves if it is in a shared store, or if there is
+    but one machine (a local master).  Otherwise nothing is written at all: each executor
+    would write to a disk of its own, and readers would see a part of the files.
     """
-    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="commutelens-"))
-    return named or sc.getCheckpointDir()
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    local_master = (spark.conf.get("spark.master", None) or "").startswith("local")
+    if warehouse and (local_master or urlsplit(warehouse).scheme not in ("", "file")):
+        return f"{warehouse.rstrip('/')}/stored"
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the folders that were made inside.
+
+    A lazy result reads from such folders, so use it up before the scope ends.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below :func:`shared_dir`; an open :func:`scratch` takes note of it."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(folder)
+    return folder
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -47,16 +47,24 @@ _TEXT_COLUMNS = {
     "calendar": {"service_id": "string", "start_date": "day", "end_date": "day", **{d: "long" for d in schemas.WEEKDAYS}},
     "calendar_dates": {"service_id": "string", "date": "day", "exception_type": "long"},
 }
+_REQUIRED = {
+    "trips": ("trip_id", "route_id", "service_id"),
+    "stop_times": ("trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"),
+    "stops": ("stop_id", "stop_lon", "stop_lat"),
+    "routes": ("route_id",),
+}
 _OUR_NAMES = {"stop_lon": "lon", "stop_lat": "lat", "shape_pt_lon": "lon", "shape_pt_lat": "lat"}
 
 
 def read_text_feed(spark: SparkSession, folder: str) -> Feed:
     """A feed from the usual text files ``<folder>/<table>.txt``; all ids are text.
 
-    Columns are found by header name, whatever their order; optional columns and
-    files that are missing come out empty.  Clock times become seconds after
-    midnight and may pass 24:00:00.
+    Columns are found by header name, whatever their order.  A file or column that a feed
+    can't be without raises ``ValueError``; optional ones that are missing come out empty.
+    Clock times become seconds after midnight and may pass 24:00:00; a blank one is
+    NULL, and a time filter or search leaves such a stop out.
     """
+    absent: list[str] = []
 
     def load(table: str) -> DataFrame:
         wanted = _TEXT_COLUMNS[table]
@@ -65,8 +73,13 @@ def read_text_feed(spark: SparkSession, folder: str) -> Feed:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            absent.append(table)
             raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in wanted))
 
+        lacking = [c for c in _REQUIRED.get(table, ()) if c not in raw.columns]
+        if lacking:
+            raise ValueError(f"{table}.txt has no {', '.join(lacking)}")
+
         def parse(column: str, kind: str) -> Column:
             if column not in raw.columns:
                 return F.lit(None).cast("long" if kind == "clock" else kind)
@@ -81,7 +94,13 @@ def read_text_feed(spark: SparkSession, folder: str) -> Feed:
             *[parse(c, kind).alias(_OUR_NAMES.get(c, c)) for c, kind in wanted.items()]
         )
 
-    return Feed(**{table: load(table) for table in _TEXT_COLUMNS})
+    feed = Feed(**{table: load(table) for table in _TEXT_COLUMNS})
+    missing = [t for t in ("trips", "stop_times", "stops", "routes") if t in absent]
+    if {"calendar", "calendar_dates"} <= set(absent):
+        missing.append("calendar or calendar_dates")
+    if missing:
+        raise ValueError(f"no feed in {folder}: without {', '.join(missing)}")
+    return feed
 
 
 def write_text_feed(feed: Feed, folder: str) -> None:
@@ -139,14 +158,15 @@ def with_model(df: DataFrame, pattern: str, name: str = "model") -> DataFrame:
 
 def read_tolerant(
     spark: SparkSession, path: str, schema: T.StructType, header: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Good rows and unreadable lines of CSV files; broken files are passed over.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Good rows, unreadable lines, and the ``file`` names that gave neither.
 
-    Whether a line is readable shows only when all its fields are parsed, so the
-    files are parsed once, whole, and both results come from the stored table.
+    Files that can't be read are passed over; they (and empty ones) make up the third
+    table.  Whether a line is readable shows only when all its fields are parsed, so the
+    files are parsed once, whole, and all results come from the stored table.
     """
     corrupt = "_unreadable"
-    raw = cut(
+    found = (
         spark.read.option("header", header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", corrupt)
@@ -154,8 +174,11 @@ def read_tolerant(
         .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
         .csv(path)
     )
-    good = raw.where(F.col(corrupt).isNull()).drop(corrupt)
-    return good, raw.where(F.col(corrupt).isNotNull()).select(corrupt)
+    raw = cut(found.withColumn("_file", F.col("_metadata.file_path")))
+    files = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
+    silent = files.join(raw.select(F.col("_file").alias("file")).distinct(), "file", "left_anti")
+    good = raw.where(F.col(corrupt).isNull()).drop(corrupt, "_file")
+    return good, raw.where(F.col(corrupt).isNotNull()).select(corrupt), silent
 
 
 def write_ttm(ttm: DataFrame, folder: str) -> None:
