@@ -40,7 +40,8 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
             "1 + c_custkey % 10 AS R003",
             "CASE WHEN c_custkey % 3 = 0 THEN 0L ELSE (c_custkey * 31) % 700 END AS T002",
             "CASE WHEN c_custkey % 3 = 0 THEN 0L ELSE (c_custkey * 17) % 90 END AS T003",
-            "(-38600 + (c_custkey % 60) * 4) / 1000D AS lon",
+            # 60 zones a row, 250 rows a block, blocks side by side
+            "(-38600 + (c_custkey % 60) * 4 + (c_custkey div 15000) * 240) / 1000D AS lon",
             "(-3900 + ((c_custkey div 60) % 250) * 4) / 1000D AS lat",
         )
         .withColumn(
@@ -149,8 +150,9 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS stop_id",
-        "(-38600 + (s_suppkey * 24) % 240) / 1000D AS lon",
-        "(-3900 + ((s_suppkey div 10) * 4) % 40) / 1000D AS lat",
+        # a stop for each place: 10 in a row, rows and blocks as those of the zones
+        "(-38600 + (s_suppkey * 24) % 240 + (s_suppkey div 2500) * 240) / 1000D AS lon",
+        "(-3900 + ((s_suppkey div 10) % 250) * 4) / 1000D AS lat",
     )
 
 

@@ -48,7 +48,7 @@ VIEWS: dict[str, str] = {
         1 + c_custkey % 10 AS R003,
         CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE (c_custkey * 31) % 700 END AS T002,
         CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE (c_custkey * 17) % 90 END AS T003,
-        (-38600 + (c_custkey % 60) * 4)::DOUBLE / 1000 AS lon,
+        (-38600 + (c_custkey % 60) * 4 + (c_custkey // 15000) * 240)::DOUBLE / 1000 AS lon,
         (-3900 + ((c_custkey // 60) % 250) * 4)::DOUBLE / 1000 AS lat
         FROM customer""",
     "origins": """SELECT id_hex AS id, lon, lat, P013 + P014 + P015 AS pop, R003 FROM zones
@@ -105,8 +105,9 @@ VIEWS: dict[str, str] = {
         14400 + (l_orderkey * 97) % 64800 + 240 * l_linenumber::BIGINT AS arrival_time,
         14420 + (l_orderkey * 97) % 64800 + 240 * l_linenumber::BIGINT AS departure_time
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
-    "stops": """SELECT s_suppkey AS stop_id, (-38600 + (s_suppkey * 24) % 240)::DOUBLE / 1000 AS lon,
-        (-3900 + ((s_suppkey // 10) * 4) % 40)::DOUBLE / 1000 AS lat FROM supplier""",
+    "stops": """SELECT s_suppkey AS stop_id,
+        (-38600 + (s_suppkey * 24) % 240 + (s_suppkey // 2500) * 240)::DOUBLE / 1000 AS lon,
+        (-3900 + ((s_suppkey // 10) % 250) * 4)::DOUBLE / 1000 AS lat FROM supplier""",
     "shapes": """SELECT shape_id, q AS shape_pt_sequence,
             (-38600 + (route_id * 24 + e * 12) % 240)::DOUBLE / 1000 AS lon,
             (-3900 + (route_id * 4 + e * 8) % 40)::DOUBLE / 1000 AS lat
@@ -175,7 +176,7 @@ VIEWS: dict[str, str] = {
 
 
 # views that SQL computes once instead of merging them into the query
-STORED = {"legs_here", "one_band"}
+STORED: set[str] = set()
 
 
 def _needs(sql: str, found: dict[str, str]) -> None:
@@ -405,38 +406,85 @@ VIEWS["foot"] = f"""SELECT o.id AS from_id, d.id AS to_id,
         ceil(ceil({_haversine('o.lon', 'o.lat', 'd.lon', 'd.lat')}) / 60)::BIGINT AS travel_time
     FROM origins o CROSS JOIN dests d
     WHERE o.id <> d.id AND {_haversine('o.lon', 'o.lat', 'd.lon', 'd.lat')} <= {WALK}"""
-# The timetable search draw by draw: state per origin, stop and minute of departure.
-VIEWS["legs"] = """SELECT b.trip_id, b.stop_id AS board, b.departure_time AS dep, a.stop_id AS alight,
-        a.arrival_time AS arr
-    FROM st b JOIN st a ON a.trip_id = b.trip_id AND a.stop_sequence > b.stop_sequence
-    WHERE b.departure_time >= 23400 AND a.arrival_time <= 23400 + 59 * 60 + 7200"""
-VIEWS["one_ride"] = """SELECT x.from_id, l.alight AS stop_id, m, min(l.arr) AS arr
-    FROM access_walk x JOIN legs l ON l.board = x.stop_id
-    CROSS JOIN (SELECT unnest(range(60)) AS m)
-    WHERE l.dep - x.walk >= 23400 + 60 * m AND l.arr <= 23400 + 60 * m + 7200 GROUP BY ALL"""
-VIEWS["two_rides"] = """SELECT from_id, stop_id, m, min(arr) AS arr FROM (
-        SELECT * FROM one_ride
-        UNION ALL SELECT r.from_id, l.alight, r.m, min(l.arr) FROM one_ride r
-        JOIN legs l ON l.board = r.stop_id AND l.dep >= r.arr
-        WHERE l.arr <= 23400 + 60 * r.m + 7200 GROUP BY ALL) GROUP BY ALL"""
-
-
-def _median_minutes(state: str, who: str) -> str:
-    """30th of 60 draws, those over two hours last, from the states at stops."""
-    return f"""SELECT {who}, to_id, t AS travel_time FROM (
-        SELECT *, row_number() OVER (PARTITION BY {who}, to_id ORDER BY t) AS n FROM (
-            SELECT {who}, to_id, m, ceil((arr - 23400 - 60 * m) / 60)::BIGINT AS t FROM (
-                SELECT {who}, to_id, m, min(arr + walk) AS arr
-                FROM {state} JOIN egress_walk USING (stop_id) WHERE from_id <> to_id GROUP BY ALL))
+VIEWS["paths"] = f"""SELECT a.stop_id, b.stop_id AS other,
+        ceil({_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')})::BIGINT AS walk
+    FROM stops a CROSS JOIN stops b WHERE {_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= {WALK}"""
+HORIZON = 23400 + 59 * 60 + 7200
+DEADLINE = "30600 + 60 *"
+ROUNDS = 9
+"""More rides than help anybody on these tables; a further round changes nothing."""
+
+
+def _undominated(source: str, place: str) -> str:
+    """Arrivals that no later start beats; ``until`` is when the next later start gets there."""
+    return f"""SELECT * FROM (SELECT *, min(arr) OVER (PARTITION BY {place} ORDER BY m DESC
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM ({source}))
+        WHERE until IS NULL OR arr < until"""
+
+
+def _search(tag: str, st: str, who: str = "from_id", run: str = "trip_id") -> str:
+    """Views of a search on the stop times ``st``; the name of the one with the minutes.
+
+    ``m`` is the last minute of the hour at which one may leave.  Every round goes on from all
+    arrivals of the round before.
+    """
+    VIEWS[f"dep_{tag}"] = f"""SELECT {run}, stop_sequence AS seq, stop_id, departure_time AS dep FROM {st}
+        WHERE departure_time BETWEEN 23400 AND {HORIZON}"""
+    VIEWS[f"alight_{tag}"] = f"""SELECT {run}, stop_sequence AS seq, stop_id, arrival_time AS arr FROM {st}
+        WHERE arrival_time BETWEEN 23400 AND {HORIZON}"""
+    keys = [k for k in run.split(", ") if k != "trip_id"]
+    same_run = " AND ".join(f"a.{k} = b.{k}" for k in run.split(", "))
+
+    def ride(boarded: str) -> str:
+        return f"""SELECT {who}, stop_id, m, min(arr) AS arr FROM (
+            SELECT {', '.join('b.' + k for k in who.split(', '))}, a.stop_id, a.arr, max(b.m) AS m
+            FROM ({boarded}) b JOIN alight_{tag} a ON {same_run} AND a.seq > b.seq
+            GROUP BY {', '.join('b.' + k for k in who.split(', '))}, a.trip_id, a.seq, a.stop_id, a.arr)
+            WHERE arr <= {DEADLINE} m GROUP BY {who}, stop_id, m"""
+
+    at = f"{who}, stop_id"
+    own = "".join(f"d.{k}, " for k in keys)
+    draw = "least(59, (d.dep - x.walk - 23400) // 60)"
+    first = f"""SELECT {own}x.from_id, d.trip_id, d.seq, {draw} AS m
+        FROM access_walk x JOIN dep_{tag} d USING (stop_id)
+        WHERE d.dep - x.walk >= 23400 AND d.dep <= {DEADLINE} {draw}"""
+    VIEWS[f"rides_{tag}_1"] = _undominated(ride(first), at)
+    STORED.update({f"dep_{tag}", f"alight_{tag}", f"rides_{tag}_1"})
+    for n in range(2, ROUNDS + 1):
+        before = f"rides_{tag}_{n - 1}"
+        wait = _undominated(
+            f"""SELECT {who}, p.other AS stop_id, m, min(arr + p.walk) AS arr FROM {before}
+            JOIN paths p USING (stop_id) GROUP BY ALL""",
+            at,
+        )
+        same = "".join(f" AND d.{k} = w.{k}" for k in keys)
+        board = f"""SELECT {', '.join('w.' + k for k in who.split(', '))}, d.trip_id, d.seq, w.m
+            FROM ({wait}) w JOIN dep_{tag} d ON d.stop_id = w.stop_id{same} AND d.dep >= w.arr
+            AND (w.until IS NULL OR d.dep < w.until) AND d.dep <= {DEADLINE} w.m"""
+        both = f"""SELECT {at}, m, min(arr) AS arr FROM (SELECT {at}, m, arr FROM {before}
+            UNION ALL {ride(board)}) GROUP BY ALL"""
+        VIEWS[f"rides_{tag}_{n}"] = _undominated(both, at)
+        STORED.add(f"rides_{tag}_{n}")
+    ends = _undominated(
+        f"""SELECT {who}, to_id, m, min(arr + walk) AS arr FROM rides_{tag}_{ROUNDS} JOIN egress_walk USING (stop_id)
+        WHERE from_id <> to_id AND arr + walk <= {DEADLINE} m GROUP BY ALL""",
+        f"{who}, to_id",
+    )
+    # the 30th of the 60 draws, each of which takes the next later arrival
+    VIEWS[f"rode_{tag}"] = f"""SELECT {who}, to_id, t AS travel_time FROM (
+        SELECT {who}, to_id, t, row_number() OVER (PARTITION BY {who}, to_id ORDER BY t) AS n FROM (
+            SELECT {who}, to_id, ceil((arr - 23400 - 60 * draw) / 60)::BIGINT AS t FROM (
+                SELECT {who}, to_id, arr, unnest(range(coalesce(lag(m) OVER (
+                    PARTITION BY {who}, to_id ORDER BY m), -1) + 1, m + 1)) AS draw FROM ({ends})))
         WHERE t <= 120) WHERE n = 30"""
+    return f"rode_{tag}"
 
 
-VIEWS["rode_one"] = _median_minutes("one_ride", "from_id")
-VIEWS["rode_two"] = _median_minutes("two_rides", "from_id")
+RODE = _search("all", "st")
 oracle(
     "ttm_timetable",
     """SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
-        SELECT * FROM rode_two UNION ALL SELECT * FROM foot) GROUP BY ALL""",
+        SELECT * FROM rode_all UNION ALL SELECT * FROM foot) GROUP BY ALL""",
 )
 oracle("ttm_rename", TTM)
 oracle(
@@ -711,29 +759,11 @@ oracle(
 )
 
 # The same road on the trips of the last service day inside the time band.
-BAND = {
-    "st": "st_band", "legs": "legs_band", "one_ride": "one_band", "two_rides": "two_band",
-    "rode_two": "rode_band", "spans": "spans_band",
-}
-
-
-def _in_band(view: str) -> str:
-    body = VIEWS[view]
-    for old, new in BAND.items():
-        body = re.sub(rf"\bFROM {old}\b", f"FROM {new}", body)
-        body = re.sub(rf"\bJOIN {old}\b", f"JOIN {new}", body)
-    return body
-
-
-for _view in ("legs", "one_ride", "two_rides", "rode_two", "spans"):
-    VIEWS[BAND[_view]] = _in_band(_view)
-# rides one can board after alighting at a stop: those of all stops at the same place
-VIEWS["legs_here"] = """SELECT p.stop_id AS board, l.dep, l.alight, l.arr FROM legs_band l
-    JOIN stops n ON n.stop_id = l.board JOIN stops p ON p.lon = n.lon AND p.lat = n.lat"""
-VIEWS["two_band"] = VIEWS["two_band"].replace("JOIN legs_band l", "JOIN legs_here l")
 VIEWS["st_band"] = """SELECT st.* FROM st JOIN trips USING (trip_id)
     WHERE service_id IN (SELECT service_id FROM dates WHERE date = (SELECT max(date) FROM dates))
         AND arrival_time >= 21600 AND departure_time <= 39599"""
+VIEWS["spans_band"] = re.sub(r"\bFROM st\b", "FROM st_band", VIEWS["spans"])
+_search("band", "st_band")
 VIEWS["access_band"] = f"""SELECT o.id, o.pop, round(coalesce(sum(d.jobs * {_gauss('t.travel_time')}), 0), 6) AS v
     FROM origins o LEFT JOIN (SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
         SELECT * FROM rode_band UNION ALL SELECT * FROM foot) GROUP BY ALL) t ON t.from_id = o.id
@@ -831,22 +861,19 @@ oracle(
 )
 # The same search with the trips of each affordable candidate only.
 VIEWS["affordable"] = "SELECT cand_id FROM costs WHERE feasible"
-VIEWS["cand_ride"] = """SELECT c.cand_id, x.from_id, l.alight AS stop_id, m, min(l.arr) AS arr
-    FROM access_walk x JOIN legs l ON l.board = x.stop_id JOIN cands c ON c.trip_id = l.trip_id
-    CROSS JOIN (SELECT unnest(range(60)) AS m)
-    WHERE l.dep - x.walk >= 23400 + 60 * m AND l.arr <= 23400 + 60 * m + 7200
-        AND c.cand_id IN (SELECT cand_id FROM affordable) GROUP BY ALL"""
-VIEWS["cand_rode"] = _median_minutes("cand_ride", "cand_id, from_id")
+VIEWS["st_cand"] = """SELECT cand_id, st.* FROM st JOIN cands USING (trip_id)
+    WHERE cand_id IN (SELECT cand_id FROM affordable)"""
+_search("cand", "st_cand", "cand_id, from_id", "cand_id, trip_id")
 VIEWS["inv_line"] = """SELECT quantile_cont(v, 0.5) AS line FROM (
     SELECT v, unnest(range(pop)) FROM (
         SELECT o.id, o.pop, round(coalesce(sum(d.jobs / t.travel_time::DOUBLE), 0), 6) AS v
         FROM origins o LEFT JOIN (
             SELECT from_id, to_id, min(travel_time) AS travel_time FROM (
-                SELECT * FROM rode_one UNION ALL SELECT * FROM foot) GROUP BY ALL) t ON t.from_id = o.id
+                SELECT * FROM rode_all UNION ALL SELECT * FROM foot) GROUP BY ALL) t ON t.from_id = o.id
         LEFT JOIN dests d ON d.id = t.to_id GROUP BY o.id, o.pop))"""
 VIEWS["cand_reach"] = """SELECT cand_id, from_id, round(sum(jobs / travel_time::DOUBLE), 6) AS v FROM (
         SELECT cand_id, from_id, to_id, min(travel_time) AS travel_time FROM (
-            SELECT * FROM cand_rode
+            SELECT * FROM rode_cand
             UNION ALL SELECT a.cand_id, foot.* FROM affordable a CROSS JOIN foot) GROUP BY ALL)
     JOIN dests ON dests.id = to_id GROUP BY ALL"""
 VIEWS["cand_people"] = """SELECT a.cand_id, sum(o.pop)::DOUBLE AS people

@@ -870,9 +870,9 @@ def candidate_cost(spark, sf):
 
 
 def _scored(spark, sf):
-    """All candidates scored in one job, on times with one ride."""
+    """All candidates scored in one job, by the search that routes the scenarios."""
     study = Study(spark, sf)
-    search = T.Search(max_rides=1)
+    search = T.Search()
     lengths, listed = cut(_lengths(spark, sf)), cut(I.candidates(spark, sf))
     stop_times, stops = I.stop_times(spark, sf), I.stops(spark, sf)
     costs = cut(_costs(lengths, listed))

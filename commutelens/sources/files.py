@@ -174,9 +174,12 @@ def read_tolerant(
         .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
         .csv(path)
     )
+    # a local path has one slash in one place and three in the other
+    one_slash = F.regexp_replace("file", "^file:/+", "file:/").alias("file")
     raw = cut(found.withColumn("_file", F.col("_metadata.file_path")))
-    files = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
-    silent = files.join(raw.select(F.col("_file").alias("file")).distinct(), "file", "left_anti")
+    files = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string").select(one_slash)
+    spoke = raw.select(F.col("_file").alias("file")).select(one_slash).distinct()
+    silent = files.join(spoke, "file", "left_anti")
     good = raw.where(F.col(corrupt).isNull()).drop(corrupt, "_file")
     return good, raw.where(F.col(corrupt).isNotNull()).select(corrupt), silent
 

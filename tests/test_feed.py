@@ -111,12 +111,11 @@ def test_path_length_in_blocks_is_the_same(spark):
 
 
 def test_lines_keep_all_points_in_order(spark):
-    points = spark.range(50).selectExpr(
-        "'p' AS shape_id", "id AS shape_pt_sequence", "cast(id AS double) AS lon", "0D AS lat"
+    points = spark.range(0, 2500, 1, 7).selectExpr(
+        "'p' AS shape_id", "id * 3 AS shape_pt_sequence", "cast(id AS double) AS lon", "0D AS lat"
     )
-    parts = SH.shapes_to_lines(points, block=20).orderBy("part").collect()
-    assert [len(r.line) for r in parts] == [20, 20, 10]
-    assert [p.lon for r in parts for p in r.line] == [float(i) for i in range(50)]
+    (line,) = SH.shapes_to_lines(points).collect()
+    assert [p.lon for p in line.line] == [float(i) for i in range(2500)]
 
 
 def test_shapes_from_stops_one_per_pattern(feed):
@@ -135,6 +134,8 @@ def test_route_gone_has_no_reduction(spark, feed):
 
 def test_clock(spark):
     assert to_seconds("24:10:00") == 87000
+    blank = spark.createDataFrame([("",), (" ",), ("07:30",), ("x:1:2",), (None,)], "a string")
+    assert {r.a for r in blank.select(seconds_of(F.col("a")).alias("a")).collect()} == {None}
     row = spark.createDataFrame([("25:00:01", "13/12/2021 06:30:00")], "a string, b string").select(
         seconds_of(F.col("a")).alias("a"), departure_timestamp(F.col("b")).cast("string").alias("b")
     ).first()

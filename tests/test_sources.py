@@ -1,12 +1,13 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from commutelens import schemas
 from commutelens.operators import feed as FD
 from commutelens.operators import shapes as SH
 from commutelens.plans import inputs as I
-from commutelens.session import cut, new_folder, shared_dir
+from commutelens.session import cut, new_folder, scratch, shared_dir
 from commutelens.sources import files as IO
 from commutelens.streaming.intake import take_in_results
 
@@ -19,6 +20,32 @@ def test_shared_dir_follows_the_session(spark):
     assert any(f.startswith("five-") for f in os.listdir(named))
 
 
+class Unset:
+    """Stands for a session on a cluster that names no shared folder."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.get = settings.get
+
+
+def test_no_shared_folder_is_refused():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Unset(**{"spark.master": "yarn", "spark.sql.warehouse.dir": "file:/x/spark-warehouse"}))
+    there = Unset(**{"spark.master": "yarn", "spark.sql.warehouse.dir": "hdfs://n/warehouse"})
+    assert shared_dir(there) == "hdfs://n/warehouse/stored"
+    here = Unset(**{"spark.master": "local[4]", "spark.sql.warehouse.dir": "file:/x/spark-warehouse"})
+    assert shared_dir(here) == "file:/x/spark-warehouse/stored"
+
+
+def test_nothing_is_left_behind(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(named))
+    with scratch(spark):
+        kept = cut(spark.range(7), "seven")
+        assert kept.count() == 7 and set(os.listdir(named)) != before
+    assert set(os.listdir(named)) == before
+
+
 def test_feed_round_trip(spark, sf_dir, tmp_path):
     feed = I.feed(spark, sf_dir)
     for fmt in ("csv", "parquet"):
@@ -61,6 +88,33 @@ def test_text_feed_in_any_column_order(spark, tmp_path):
     assert SH.distance_by_trip(feed).first().distance == 0.0
 
 
+REQUIRED = {
+    "trips": "trip_id,route_id,service_id\nt1,r1,wd\n",
+    "stop_times": "trip_id,stop_sequence,stop_id,arrival_time,departure_time\nt1,1,s1,07:00:00,\n",
+    "stops": "stop_id,stop_lat,stop_lon\ns1,-3.7,-38.5\n",
+    "routes": "route_id\nr1\n",
+    "calendar_dates": "service_id,date,exception_type\nwd,20211201,1\n",
+}
+
+
+@pytest.mark.parametrize("left_out", REQUIRED)
+def test_required_files_must_exist(spark, tmp_path, left_out):
+    for name, text in REQUIRED.items():
+        if name != left_out:
+            (tmp_path / f"{name}.txt").write_text(text)
+    with pytest.raises(ValueError, match=left_out):
+        IO.read_text_feed(spark, str(tmp_path))
+
+
+def test_required_columns_must_exist(spark, tmp_path):
+    for name, text in REQUIRED.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    assert IO.read_text_feed(spark, str(tmp_path)).stop_times.first().departure_time is None
+    (tmp_path / "stops.txt").write_text("stop_id,stop_lat\ns1,-3.7\n")
+    with pytest.raises(ValueError, match="stop_lon"):
+        IO.read_text_feed(spark, str(tmp_path))
+
+
 def test_stacking_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("scenario,fleet\nbaseline,3\n")
     (tmp_path / "b.csv").write_text("fleet,scenario,metro\n4,optimal,1\n")
@@ -70,9 +124,11 @@ def test_stacking_files_with_different_headers(spark, tmp_path):
 
 def test_bad_rows_are_set_aside(spark, tmp_path):
     (tmp_path / "x.csv").write_text("scenario,max_fleet,total_distance\na,1,2.5\nnonsense\nb,x,1\nc,3,4.5\n")
-    good, bad = IO.read_tolerant(spark, str(tmp_path), schemas.REMOVAL_COST)
+    (tmp_path / "broken.csv.gz").write_bytes(b"\x1f\x8b no archive")
+    good, bad, silent = IO.read_tolerant(spark, str(tmp_path), schemas.REMOVAL_COST)
     assert sorted(r.scenario for r in good.collect()) == ["a", "c"]
     assert bad.count() == 2
+    assert [r.file.rsplit("/", 1)[1] for r in silent.collect()] == ["broken.csv.gz"]
 
 
 def test_model_from_file_name(spark, tmp_path):
