@@ -17,6 +17,23 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(chord))
 
 
+def ring_text(ring: Column) -> Column:
+    """A closed ring of ``struct(lon, lat)`` as well-known text, to six decimals."""
+    point = F.transform(ring, lambda p: F.format_string("%.6f %.6f", p["lon"], p["lat"]))
+    return F.concat(F.lit("POLYGON(("), F.array_join(point, ","), F.lit("))"))
+
+
+def ring_of(text: Column) -> Column:
+    """The outer ring of a polygon in well-known text; NULL for a NULL text."""
+    points = F.split(F.regexp_extract(text, r"\(\(\s*([^)]*)\)", 1), r"\s*,\s*")
+
+    def part(p: Column, n: int) -> Column:
+        return F.get(F.split(F.trim(p), r"\s+"), F.lit(n)).try_cast("double")
+
+    ring = F.transform(points, lambda p: F.struct(part(p, 0).alias("lon"), part(p, 1).alias("lat")))
+    return F.when(text.isNotNull(), ring)
+
+
 def ring_centroid(ring: Column) -> Column:
     """Area centroid ``struct(lon, lat)`` of a closed ring of ``struct(lon, lat)``.
 

@@ -15,12 +15,17 @@ from commutelens.operators.travel import reachable, unreached
 
 ZONE = ("id_hex", "pop", "R003")
 
-# A sum of doubles depends in its last digits on the order rows arrive in.  Values are
-# kept to a millionth of a job, so that zones equal to each other or to a threshold
+# A sum of doubles depends in its last digits on the order rows arrive in.  Plans keep
+# values to a millionth of a job, so that zones equal to each other or to a threshold
 # stay equal, in every scenario and after every retry.
 PLACES = 6
 
 
+def _kept(value: Column, places: int | None) -> Column:
+    whole = F.coalesce(value, F.lit(0.0))
+    return whole if places is None else F.round(whole, places)
+
+
 def jobs_by_time(
     ttm: DataFrame, origins: DataFrame, destinations: DataFrame, scenarios: Sequence[str]
 ) -> DataFrame:
@@ -61,9 +66,12 @@ def accessibility(
     destinations: DataFrame,
     scenarios: Sequence[str],
     kernel: Kernel = gaussian(),
+    places: int | None = None,
 ) -> DataFrame:
     """``(scenario, id_hex, pop, R003, cum_jobs)``, one row per origin and scenario.
 
+    ``cum_jobs`` is rounded only where ``places`` are given.
+
     An unreachable pair adds nothing under either kernel, so the OD product is not
     needed: reachable pairs are summed per origin (map tasks pre-aggregate, so an
     origin with very many pairs is no burden) and origins without any get 0.
@@ -77,7 +85,7 @@ def accessibility(
     return (
         _for_scenarios(origins, scenarios)
         .join(gained, ["scenario", "id_hex"], "left")
-        .select("scenario", *ZONE, F.round(F.coalesce("_gained", F.lit(0.0)), PLACES).alias("cum_jobs"))
+        .select("scenario", *ZONE, _kept(F.col("_gained"), places).alias("cum_jobs"))
     )
 
 
@@ -87,8 +95,9 @@ def sigma_fanout(
     destinations: DataFrame,
     scenarios: Sequence[str],
     sigmas: Mapping[str, float] = SIGMAS,
+    places: int | None = None,
 ) -> DataFrame:
-    """Accessibility under several sigmas at once.
+    """Accessibility under several sigmas at once, rounded only where ``places`` are given.
 
     All sums are taken in the one grouping by origin; the rows are unfolded by
     sigma afterwards, so the shuffle is that of a single sigma.
@@ -106,7 +115,7 @@ def sigma_fanout(
         F.struct(
             F.lit(name).alias("sigma_scenario"),
             F.lit(float(sigma)).alias("sigma"),
-            F.round(F.coalesce(F.col(name), F.lit(0.0)), PLACES).alias("cum_jobs"),
+            _kept(F.col(name), places).alias("cum_jobs"),
         )
         for name, sigma in sigmas.items()
     ]

@@ -222,17 +222,19 @@ def trip_spans(stop_times: DataFrame) -> DataFrame:
 
 
 def fleet_profile(
-    trips: DataFrame, stop_times: DataFrame, keys: Sequence[str] = ()
+    trips: DataFrame, stop_times: DataFrame, keys: Sequence[str] = (), each: str | None = None
 ) -> DataFrame:
     """Vehicles in service from each second at which their number may change.
 
     Events are netted per second before the running sum, so a key has no more rows
-    than seconds in a service day, whatever the number of trips.
+    than seconds in a service day, whatever the number of trips.  ``each`` names an array
+    column of ``trips``: a trip counts for each of its values, which become a key.  They
+    are unfolded after the netting.
     """
-    keys = list(keys)
+    held = [*keys, *([each] if each else [])]
     spans = trip_spans(stop_times)
-    if keys:
-        spans = spans.join(trips.select("trip_id", *keys), "trip_id")
+    if held:
+        spans = spans.join(trips.select("trip_id", *held), "trip_id")
     event = F.explode(
         F.array(
             F.struct(F.col("start").alias("at"), F.lit(1).cast("long").alias("delta")),
@@ -240,10 +242,13 @@ def fleet_profile(
         )
     )
     net = (
-        spans.select(*keys, event.alias("e"))
-        .groupBy(*keys, F.col("e.at").alias("at"))
+        spans.select(*held, event.alias("e"))
+        .groupBy(*held, F.col("e.at").alias("at"))
         .agg(F.sum("e.delta").alias("delta"))
     )
+    keys = held
+    if each:
+        net = net.withColumn(each, F.explode(each)).groupBy(*keys, "at").agg(F.sum("delta").alias("delta"))
     so_far = (
         Window.partitionBy(*keys)
         .orderBy("at")
@@ -253,12 +258,13 @@ def fleet_profile(
 
 
 def fleet_by_hour(
-    trips: DataFrame, stop_times: DataFrame, keys: Sequence[str] = ()
+    trips: DataFrame, stop_times: DataFrame, keys: Sequence[str] = (), each: str | None = None
 ) -> DataFrame:
     """Most vehicles in service at once in each hour, those carried in included."""
-    keys = list(keys)
+    profile = fleet_profile(trips, stop_times, keys, each)
+    keys = [*keys, *([each] if each else [])]
     hours = (
-        fleet_profile(trips, stop_times, keys)
+        profile
         .groupBy(*keys, hour_of(F.col("at")).alias("from_hour"))
         .agg(F.max("running").alias("peak"), F.max_by("running", "at").alias("left"))
     )
@@ -278,8 +284,9 @@ def fleet_by_hour(
     return spread.select(*keys, "hour", fleet.alias("fleet"))
 
 
-def fleet_max(trips: DataFrame, stop_times: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def fleet_max(
+    trips: DataFrame, stop_times: DataFrame, keys: Sequence[str] = (), each: str | None = None
+) -> DataFrame:
     """Peak number of vehicles in service, per key."""
-    keys = list(keys)
-    peaks = fleet_by_hour(trips, stop_times, keys)
-    return peaks.groupBy(*keys).agg(F.max("fleet").alias("max_fleet"))
+    peaks = fleet_by_hour(trips, stop_times, keys, each)
+    return peaks.groupBy(*keys, *([each] if each else [])).agg(F.max("fleet").alias("max_fleet"))

@@ -79,13 +79,15 @@ def distance_by_trip(feed: Feed) -> DataFrame:
     return along_shape.select(*columns).unionByName(by_stops.select(*columns))
 
 
-def distance_by_route(feed: Feed, keys: Sequence[str] = ()) -> DataFrame:
+def distance_by_route(feed: Feed, keys: Sequence[str] = (), each: str | None = None) -> DataFrame:
     """Trips and their mean length per route (and per extra key of ``trips``).
 
     Trips on a shape are counted before the length is joined: the join sees one
-    row per route and shape however many trips run on it.
+    row per route and shape however many trips run on it.  ``each`` names an array
+    column of ``trips``: a trip counts for each of its values.  They are unfolded after
+    the counting.
     """
-    group = [*keys, "route_id"]
+    group = [*keys, *([each] if each else []), "route_id"]
     along_shape = (
         feed.trips.groupBy(*group, "shape_id")
         .agg(F.count("*").alias("n"))
@@ -95,21 +97,24 @@ def distance_by_route(feed: Feed, keys: Sequence[str] = ()) -> DataFrame:
     by_stops = (
         feed.trips.select("trip_id", *group)
         .join(_lengths_by_stops(feed), "trip_id")
-        .select(*group, F.lit(1).cast("long").alias("n"), F.col("distance").alias("metres"))
+        .groupBy(*group)
+        .agg(F.count("*").alias("n"), F.sum("distance").alias("metres"))
     )
+    counted = along_shape.unionByName(by_stops)
+    if each:
+        counted = counted.withColumn(each, F.explode(each))
     return (
-        along_shape.unionByName(by_stops)
-        .groupBy(*group)
+        counted.groupBy(*group)
         .agg(
             F.sum("n").alias("trips"), (F.sum("metres") / F.sum("n")).alias("average_distance")
         )
     )
 
 
-def distance_total(feed: Feed, keys: Sequence[str] = ()) -> DataFrame:
+def distance_total(feed: Feed, keys: Sequence[str] = (), each: str | None = None) -> DataFrame:
     """Metres driven by all trips: trips x mean length, over the routes."""
-    routes = distance_by_route(feed, keys)
-    return routes.groupBy(*keys).agg(
+    routes = distance_by_route(feed, keys, each)
+    return routes.groupBy(*keys, *([each] if each else [])).agg(
         F.sum(F.col("trips") * F.col("average_distance")).alias("total_distance")
     )
 

@@ -42,6 +42,18 @@ def centroids(zones: DataFrame) -> DataFrame:
     )
 
 
+def located(zones: DataFrame, places: int = 9) -> DataFrame:
+    """Zones with ``lon, lat``: their own, or the centroid of their ``ring``.
+
+    Centroids are kept to a tenth of a millimetre, so that a place is the same place
+    whichever way it was computed.
+    """
+    if {"lon", "lat"} <= set(zones.columns):
+        return zones
+    centre = zones.withColumn("_c", ring_centroid(F.col("ring")))
+    return centre.withColumns({c: F.round(F.col(f"_c.{c}"), places) for c in ("lon", "lat")}).drop("_c")
+
+
 def od_pairs(origins: DataFrame, destinations: DataFrame) -> DataFrame:
     """Origins x destinations without the diagonal, one row per origin.
 

@@ -241,7 +241,7 @@ def plan_trips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scenario_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All trips with the scenarios they run in, as a ``scenario`` column."""
+    """All trips with the set of scenarios they run in, as an array column ``scenario``."""
     runs = F.expr(
         """
         filter(array('baseline', 'donothing', 'optimal', 'pasfor'), s -> CASE
@@ -251,7 +251,7 @@ def scenario_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
             ELSE true END)
         """
     )
-    return trips(spark, sf_dir).withColumn("scenario", F.explode(runs))
+    return trips(spark, sf_dir).withColumn("scenario", runs)
 
 
 def interventions(spark: SparkSession) -> DataFrame:

@@ -245,10 +245,14 @@ SUMMARY = """SELECT 'trips' AS item, count(*) AS n_rows, count(DISTINCT trip_id)
 oracle("sink_feed", SUMMARY)
 oracle(
     "src_zones",
-    """SELECT id_hex, round(lon, 6) AS lon, round(lat, 6) AS lat, P013, P014, P015, R003, T002, T003
-    FROM zones WHERE T002 + T003 > 0
-    UNION ALL SELECT id_hex, round(lon, 6), round(lat, 6), NULL, NULL, NULL, NULL, NULL, NULL
-    FROM zones WHERE T002 + T003 = 0""",
+    """, drawn AS (SELECT *, 'POLYGON((' || array_to_string(list_transform(
+            [[-1, -1], [1, -1], [1, 1], [-1, 1], [-1, -1]],
+            lambda d: printf('%.6f %.6f', lon + d[1] * 0.002::DOUBLE, lat + d[2] * 0.002::DOUBLE)), ',') || '))' AS polygon
+        FROM zones)
+    SELECT id_hex, round(lon, 6) AS lon, round(lat, 6) AS lat, polygon, P013, P014, P015, R003, T002, T003
+    FROM drawn WHERE T002 + T003 > 0
+    UNION ALL SELECT id_hex, round(lon, 6), round(lat, 6), polygon, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM drawn WHERE T002 + T003 = 0""",
 )
 TTM = "SELECT scenario, from_id, to_id, travel_time FROM ttm"
 oracle("src_csv_inferred", TTM)

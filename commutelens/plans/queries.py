@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from commutelens import schemas
 from commutelens.functions.decay import DEFAULT_SIGMA, SIGMAS, gaussian, inverse, sigma_for_half_life
+from commutelens.functions.geo import ring_text
 from commutelens.functions.labels import scenario_label, scenario_rank
 from commutelens.operators import access as A
 from commutelens.operators import equity as Q
@@ -69,17 +70,14 @@ def sink_feed(spark, sf):
 def src_zones(spark, sf):
     whole = I.zones(spark, sf)
     folder = new_folder(spark, "zones")
-    IO.write_csv(whole.select(*schemas.GRID.names), f"{folder}/grid")
+    IO.write_csv(whole.select("id_hex", ring_text(F.col("ring")).alias("polygon")), f"{folder}/grid")
     IO.write_csv(whole.where("T002 + T003 > 0").select(*schemas.LANDUSE.names), f"{folder}/landuse")
-    return rounded(
-        IO.read_zones(
-            IO.read_csv(spark, f"{folder}/grid", schemas.GRID),
-            IO.read_csv(spark, f"{folder}/landuse", schemas.LANDUSE),
-        ),
-        6,
-        "lon",
-        "lat",
+    read = IO.read_zones(
+        IO.read_csv(spark, f"{folder}/grid", schemas.GRID),
+        IO.read_csv(spark, f"{folder}/landuse", schemas.LANDUSE),
     )
+    kept = Z.located(read).withColumn("polygon", ring_text(F.col("ring"))).drop("ring")
+    return rounded(kept, 6, "lon", "lat")
 
 
 @query
@@ -250,12 +248,12 @@ def freq_daily_route(spark, sf):
 
 @query
 def fleet_by_hour(spark, sf):
-    return FD.fleet_by_hour(I.scenario_trips(spark, sf), I.stop_times(spark, sf), ["scenario"])
+    return FD.fleet_by_hour(I.scenario_trips(spark, sf), I.stop_times(spark, sf), each="scenario")
 
 
 @query
 def fleet_max(spark, sf):
-    return FD.fleet_max(I.scenario_trips(spark, sf), I.stop_times(spark, sf), ["scenario"])
+    return FD.fleet_max(I.scenario_trips(spark, sf), I.stop_times(spark, sf), each="scenario")
 
 
 @query
@@ -538,7 +536,7 @@ def sigma_stack(spark, sf):
     study = Study(spark, sf)
     times = cut(study.ttm)
     parts = [
-        A.accessibility(times, study.origins, study.destinations, I.CODES, gaussian(sigma)).withColumn(
+        A.accessibility(times, study.origins, study.destinations, I.CODES, gaussian(sigma), A.PLACES).withColumn(
             "sigma", F.lit(sigma)
         )
         for sigma in SIGMAS.values()
@@ -775,7 +773,8 @@ def scenario_tradeoff(spark, sf):
 @query
 def scenario_run(spark, sf):
     """From feeds to the result row, on routed times."""
-    done = run_scenario("baseline", I.bus_feed(spark, sf), I.metro_feed(spark, sf), I.zones(spark, sf))
+    zones = I.zones(spark, sf).drop("lon", "lat")  # origins and destinations are the centroids
+    done = run_scenario("baseline", I.bus_feed(spark, sf), I.metro_feed(spark, sf), zones)
     return rounded(
         done.performance.withColumn("critical_access", scalar(done.threshold)),
         1,
@@ -883,7 +882,7 @@ def _scored(spark, sf):
         study.origins, study.destinations, I.trips(spark, sf), stop_times, stops, search
     ).withColumn("scenario", F.lit("baseline"))
     kernel = inverse()
-    reach = A.accessibility(full, study.origins, study.destinations, ["baseline"], kernel)
+    reach = A.accessibility(full, study.origins, study.destinations, ["baseline"], kernel, A.PLACES)
     rides = T.ride_times(
         study.origins, study.destinations, kept, stop_times, stops, search, ["cand_id"]
     )

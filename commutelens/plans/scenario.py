@@ -32,10 +32,10 @@ class Study:
         self.ttm = I.ttm(spark, sf_dir)
 
     def plain_access(self) -> DataFrame:
-        return A.accessibility(self.ttm, self.origins, self.destinations, I.CODES)
+        return A.accessibility(self.ttm, self.origins, self.destinations, I.CODES, places=A.PLACES)
 
     def plain_sigma_access(self) -> DataFrame:
-        return A.sigma_fanout(self.ttm, self.origins, self.destinations, I.CODES)
+        return A.sigma_fanout(self.ttm, self.origins, self.destinations, I.CODES, places=A.PLACES)
 
     @cached_property
     def _access(self) -> DataFrame:
@@ -67,14 +67,17 @@ class Study:
         return Q.critical_transition(self.access(), self.threshold())
 
     def operation(self) -> DataFrame:
-        """Peak fleet and distance per scenario and mode, both modes in one pass."""
+        """Peak fleet and distance per scenario and mode, both modes in one pass.
+
+        A trip keeps the set of its scenarios until trips are counted, so four scenarios
+        or four hundred shuffle the same rows.
+        """
         whole = I.feed(self.spark, self.sf_dir)
         mode = F.when(F.col("route_id") < 3, F.lit("metro")).otherwise("bus")
         trips = I.scenario_trips(self.spark, self.sf_dir).withColumn("mode", mode)
-        keys = ["scenario", "mode"]
-        fleet = FD.fleet_max(trips, whole.stop_times, keys)
-        metres = SH.distance_total(Feed(**{**whole.tables(), "trips": trips}), keys)
-        return fleet.join(metres, keys)
+        fleet = FD.fleet_max(trips, whole.stop_times, ["mode"], "scenario")
+        metres = SH.distance_total(Feed(**{**whole.tables(), "trips": trips}), ["mode"], "scenario")
+        return fleet.join(metres, ["scenario", "mode"])
 
     def performance(self) -> DataFrame:
         """People below the line, fleets and distances: one row per scenario."""

@@ -37,7 +37,8 @@ FEED = {
     "calendar_dates": CALENDAR_DATES,
 }
 
-GRID = _struct(id_hex=STRING, lon=DOUBLE, lat=DOUBLE)
+# the polygon of a cell as well-known text
+GRID = _struct(id_hex=STRING, polygon=STRING)
 LANDUSE = _struct(
     id_hex=STRING, P013=LONG, P014=LONG, P015=LONG, R003=LONG, T002=LONG, T003=LONG
 )

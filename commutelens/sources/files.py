@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from commutelens import schemas
 from commutelens.functions.clock import clock_text, seconds_of
+from commutelens.functions.geo import ring_of
 from commutelens.operators.access import stack
 from commutelens.operators.feed import Feed
 from commutelens.session import cut
@@ -118,7 +119,9 @@ def write_text_feed(feed: Feed, folder: str) -> None:
 
 
 def read_zones(grid: DataFrame, landuse: DataFrame) -> DataFrame:
-    """Zone grid with its land use, where there is any."""
+    """Zone grid with its land use, where there is any; ``polygon`` becomes a ``ring``."""
+    if "polygon" in grid.columns:
+        grid = grid.withColumn("ring", ring_of(F.col("polygon"))).drop("polygon")
     return grid.join(landuse, "id_hex", "left")
 
 
