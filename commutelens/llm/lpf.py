@@ -1,14 +1,13 @@
-"""Removal of repeated byte strings by longest previous factors.
+"""Removal of repeated byte strings by hashes of anchored contexts.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier.  In suffix order,
-the longest previous factor of a position is its longest common prefix with the next smaller
-position before or after it; where that is ``LENGTH`` or more, the string there is a repeat.
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier, that is, where the
+longest previous factor is ``LENGTH`` or more.  The factors themselves are not computed.
 
 Sorting all suffixes of a corpus is not called for: most of its strings occur once.  Each
 string has an anchor, the ``GRAM``-byte piece of least hash in it, so equal strings have equal
 anchors at equal places.  Neighbouring strings share their anchor; such a run is one row.
 Rows whose whole context occurs earlier are repeats at once.  Only where an anchor occurs in
-different contexts are the strings themselves put in suffix order, group by group.
+different contexts are the strings themselves sorted and compared, group by group.
 """
 
 from __future__ import annotations
