@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commutelens.llm import audit as AU
 from commutelens.llm import decon as DC
 from commutelens.llm import lines as LN
 from commutelens.llm import lpf as LP
 from commutelens.llm import maxent as MA
+from commutelens.llm import merkle as ME
 from commutelens.llm import mix as MX
 from commutelens.llm import qda as QD
 from commutelens.llm import rules as RU
@@ -91,3 +93,26 @@ def op9_decon(spark, sf):
 @query
 def op10_qda(spark, sf):
     return QD.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op11_merkle(spark, sf):
+    docs = table(spark, sf, "documents")
+    one_more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = ME.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), one_more, F.col("text"))
+    shown = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered)
+    proven = ME.manifest(docs, also={"tampered": shown})
+    folded = ME.fold(F.coalesce("tampered", "leaf"), F.col("siblings"))
+    return proven.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join("siblings.digest", ""), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_audit(spark, sf):
+    return AU.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
