@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commutelens.llm import audit as AU
+from commutelens.llm import covertree as CT
 from commutelens.llm import decon as DC
 from commutelens.llm import lines as LN
 from commutelens.llm import lpf as LP
@@ -113,6 +114,11 @@ def op11_merkle(spark, sf):
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op12_covertree(spark, sf):
+    return CT.near_dedup(table(spark, sf, "embeddings"))
+
+
 @query
 def op13_audit(spark, sf):
     return AU.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
