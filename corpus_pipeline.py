@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commutelens.llm import decon, lines, mix, neardup, rules
-from commutelens.llm.common import fresh, table, text_of
+from commutelens.llm import decon, lines, mix, rules, simhash
+from commutelens.llm.common import columns_of, fresh, table, text_of
 from commutelens.session import cut
 
 
@@ -18,11 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that neither the base rule nor a learned rule rejects.
 
     Rules are learned from the labelled ones among ``docs``; without any, the base rule alone holds.
+    Null and empty texts have no words and go; rows that repeat a text are judged alike; an empty table
+    gives an empty one.  Columns stay as they are.
     """
-    stats = cut(rules.statistics(docs.select("doc_id", "text")).select("doc_id", "_stats"), "pipeline-stats")
-    learned = rules.learn(stats, table(spark, sf_dir, "labels"))
     held = fresh(docs, "_stats")
-    return rules.statistics(docs, held).where(rules.keeps(learned, held)).select(*docs.columns)
+    judged = cut(rules.statistics(docs, held), "pipeline-stats")  # with the texts, so that they are counted once
+    learned = rules.learn(judged.select("doc_id", F.col(held).alias("_stats")), table(spark, sf_dir, "labels"))
+    return judged.where(rules.keeps(learned, held)).select(*columns_of(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,22 +38,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return (
         out.where((F.col(removed) == 0) | ~blank)
         .withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-        .select(*docs.columns)
+        .select(*columns_of(docs))
     )
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id."""
-    return neardup.one_of_each(docs)
+    """One document of each group whose SimHash fingerprints link (four-word shingles, four bits): the smallest id."""
+    return simhash.one_of_each(docs, radius=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay, repeated rows all stay or all go; without items all stay.
+    """
     return decon.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, numbered by ``copy``."""
+    """Each document as often as the mix takes it, numbered by ``copy``.
+
+    A text without words is taken at its source's rate like any other, unless the whole source has
+    none; a null source is one of its own; rows that repeat an id, a source and a size are
+    taken alike; an empty table gives an empty one.  A column ``copy`` is replaced.
+    """
     sized = docs.select("doc_id", "source", mix.word_count("text").alias("size"))
     return mix.emit(docs, mix.mix(sized), mix.word_count("text"))
 
