@@ -48,6 +48,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df``, whatever their names hold, but those ``without``."""
+    quoted = [c.replace("`", "``") for c in df.columns if c not in without]
+    return [F.col(f"`{c}`") for c in quoted]
+
+
 def blocks_of_text(df: DataFrame, name: str = "text") -> DataFrame:
     """``df`` with a text column as UTF-8 bytes, which Python reads without decoding."""
     return df.withColumn(name, text_of(name).cast("binary"))

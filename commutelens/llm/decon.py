@@ -161,12 +161,15 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[Row]]:
-    """The items, in blocks of about ``block_words`` words at most."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    """The items, in blocks of about ``block_words`` words at most; repeated rows count once.
+
+    All texts of an id are in one block, so that the best of them can be told there.
+    """
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = math.ceil(total / block_words)
     for k in range(blocks):
-        yield rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        yield rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
 
 
 def _load(docs: DataFrame, rows: list[Row]) -> Items | None:
@@ -250,8 +253,13 @@ def decontaminate(
     threshold: float = THRESHOLD,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows are read in place, once a block."""
-    counted = docs
+    """``docs`` without the documents that hold an item; rows are read in place, once a block.
+
+    Null and empty texts hold nothing and stay; of repeated rows all stay or none.  Without items
+    all stay; an empty table gives an empty one.  Columns stay as they are, whatever their names.
+    """
+    counted, names = docs, docs.columns
+    docs = docs.toDF(*["text" if c == "text" else f"_{k}" for k, c in enumerate(names)])
     for rows in _blocks(benchmark, block_words):
         items = _load(counted, rows)
         if items is None:
@@ -263,4 +271,4 @@ def decontaminate(
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

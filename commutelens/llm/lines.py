@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import fresh, text_of
+from commutelens.llm.common import columns_of, fresh, text_of
 from commutelens.session import cut
 
 MIN_SITES = 10
@@ -115,7 +115,7 @@ def dedup(
     visible = F.filter(F.split(text_of("text"), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     stay = F.filter(every, lambda x, i: ~F.array_contains(gone_at, i))
     return joined.select(
-        *[c for c in base.columns if c not in (own, "text")],
+        *columns_of(base, own, "text"),
         F.when(gone_at.isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
         F.size(visible).cast("long").alias(lines_in),
         F.coalesce(F.size(gone_at), F.lit(0)).cast("long").alias(removed),

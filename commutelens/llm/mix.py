@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import SPACES, fresh, text_of
+from commutelens.llm.common import SPACES, columns_of, fresh, text_of
 from commutelens.operators.running import running_total
 from commutelens.session import cut
 
@@ -143,6 +143,6 @@ def emit(docs: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
         & (F.col(words) == F.col(f"{side}.size"))
     )
     return a.join(b, same).select(
-        *[c for c in a.columns if c != words],
+        *columns_of(a, words),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{side}.copies"))).alias("copy"),
     )

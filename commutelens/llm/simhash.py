@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commutelens.llm.common import blocks_of_text
+from commutelens.llm.common import blocks_of_text, columns_of, fresh
 from commutelens.llm.components import components
 from commutelens.session import cut
 
@@ -215,5 +215,27 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(found, "fp").select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of linked fingerprints: that of the smallest id.
+
+    Texts are lower-cased (A-Z); null and empty ones have fingerprint zero and are copies of each
+    other.  Ids that are null come after all others; of rows that repeat an id the first by
+    the hash of the text stays, and of equal rows one.  An empty table gives an empty one; columns
+    stay as they are, whatever their names.
+    """
+    own, side = fresh(docs, "_own"), fresh(docs, "_stay")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    marked = cut(fingerprints(hashed, ["doc_id", "_text"]), "simhash-marked")
+    found = cut(groups(marked, radius), "simhash-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_text")
+    times = marked.groupBy("fp", "doc_id", "_text").agg(F.count("*").alias("times"))
+    first = times.groupBy("fp").agg(F.min(F.struct(place.alias("p"), "times")).alias("first"))
+    stay = found.join(first, "fp").groupBy("root").agg(F.min("first").alias(side)).select(side)
+    same = F.col("doc_id").eqNullSafe(F.col(f"{side}.p.doc_id")) & (F.col(own) == F.col(f"{side}.p._text"))
+    kept = docs.withColumn(own, F.xxhash64("text")).join(cut(stay, "simhash-stay"), same)
+    once, again = kept.where(f"{side}.times = 1"), kept.where(f"{side}.times > 1").dropDuplicates(["doc_id", own])
+    return once.unionByName(again).select(*columns_of(docs))
+
+
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
