@@ -33,12 +33,12 @@ def results(name, spark, sf_dir):
 
 def test_names_and_sql():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert "pipeline" in queries() and set(QUERIES) <= set(queries())
-    assert {"op1_mix", "op2_lines"} <= set(oracle_sql())
+    assert {"op1_mix", "op2_lines", "op11_merkle", "op13_audit"} <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op1_mix", "op2_lines"])
+@pytest.mark.parametrize("name", ["op1_mix", "op2_lines", "op11_merkle", "op13_audit"])
 def test_sql(name, spark, sf_dir):
     verdict, _ = compare(QUERIES[name](spark, sf_dir), connect(sf_dir), oracle_sql()[name])
     assert verdict == "ok", verdict

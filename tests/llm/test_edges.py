@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commutelens.llm import decon, lines, lpf, maxent, mix, qda, rules, secret_scan, simhash, urls
+from commutelens.llm import audit, decon, lines, lpf, maxent, merkle, mix, qda, rules, secret_scan, simhash, urls
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size long, copies long, fp long, _text long, "
@@ -73,6 +73,7 @@ RUNS = {
     "secrets": lambda d, la, b: secret_scan.find(d),
     "rules": lambda d, la, b: rules.judge(rules.statistics(d), rules.learn(rules.statistics(d), la)),
     "qda": lambda d, la, b: qda.classify(d, la),
+    "merkle": lambda d, la, b: merkle.manifest(d).drop("pos", "siblings"),
 }
 
 
@@ -105,6 +106,11 @@ def test_leaks_and_edges(docs, none, benchmark):
     kept = decon.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
     assert kept.count() == len(ROWS) - 3
+    # items that repeat an id: the best counts, in one block and in several
+    twice = benchmark.union(benchmark).unionByName(benchmark.where("item_id = 1").selectExpr("item_id", "concat(text, ' and eight other words follow it here now') AS text"))
+    for words in (1 << 20, 7, 2):
+        got = decon.leaks(docs, twice, block_words=words).collect()
+        assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (2, 1, 1.0)]
     # in several blocks the same
     assert decon.decontaminate(docs, benchmark, block_words=3).count() == len(ROWS) - 3
 
@@ -158,6 +164,26 @@ def test_quality_stage(spark, sf_dir, docs, none):
     assert corpus_pipeline.quality_rules(spark, none, sf_dir).collect() == []
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_any_column_name(spark, sf_dir, docs, stage):
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("a`c", F.lit("x")).withColumn("_0", F.lit(2.0))
+    out = stage(spark, odd, sf_dir)
+    assert [c for c in out.columns if c != "copy"] == odd.columns
+    assert {(r["a.b"], r["a`c"], r["_0"]) for r in out.collect()} <= {(1, "x", 2.0)}
+
+
+def test_audit_edges(spark, docs, none, labels):
+    got = audit.audit(docs.where("doc_id IS NULL OR doc_id < 8"), labels).collect()
+    assert len(got) == 600 and {r.part for r in got} == {"en"}
+    first = next(r for r in got if r.filter_order == "EABCD" and r.step == 1)
+    # both rows of 2 repeat 1; 4 repeats 3 as null counts as empty; null ids repeat nothing
+    assert (first.kept, first.removed, first.redundant, first.good_lost) == (7, 3, 0, 0)
+    assert audit.audit(none, labels).collect() == []
+    assert audit.audit(docs, labels.where("false")).agg(F.sum("good_lost")).first()[0] == 0
+    some = docs.select("doc_id", "text", F.when(F.col("doc_id") == 1, None).otherwise("").alias("lang"))
+    assert {r.part for r in audit.audit(some, labels).collect()} == {""}
+
+
 def test_long_text_is_taken_whole(docs):
     tail = docs.where(F.col("doc_id").isin(6, 7))
     words = {r.doc_id: r.n_tokens for r in maxent.score(tail).collect()}
