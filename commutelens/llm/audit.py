@@ -45,7 +45,8 @@ def copies(docs: DataFrame, marked: DataFrame) -> DataFrame:
     that is searched has one row for each text, so the copies of a text are never paired.
     """
     again = marked.groupBy("h").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
-    several = docs.join(again.where("_least < _most").select("h"), "h", "left_semi")
+    # texts are dealt out by hash at every size; a broadcast would only fit small inputs
+    several = docs.join(again.where("_least < _most").select("h").hint("merge"), "h", "left_semi")
     several = cut(several.select("doc_id", "part", "h", "text"), "audit-several")
     first = several.groupBy("h", "text").agg(F.min("doc_id").alias("_least"))
     later, first = several.alias("l"), first.alias("r")
