@@ -44,11 +44,13 @@ def copies(docs: DataFrame, marked: DataFrame) -> DataFrame:
     ``docs`` have ``doc_id, part, h, text``; ``marked`` is the same without the text.  The side
     that is searched has one row for each text, so the copies of a text are never paired.
     """
-    again = marked.groupBy("h").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
+    # both small sides are stored: a join of two plain shuffles can be split where a text is frequent
+    ids = marked.groupBy("h").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
+    again = cut(ids.where("_least < _most").select("h"), "audit-again")
     # texts are dealt out by hash at every size; a broadcast would only fit small inputs
-    several = docs.join(again.where("_least < _most").select("h").hint("merge"), "h", "left_semi")
+    several = docs.join(again.hint("merge"), "h", "left_semi")
     several = cut(several.select("doc_id", "part", "h", "text"), "audit-several")
-    first = several.groupBy("h", "text").agg(F.min("doc_id").alias("_least"))
+    first = cut(several.groupBy("h", "text").agg(F.min("doc_id").alias("_least")), "audit-first")
     later, first = several.alias("l"), first.alias("r")
     same = (F.col("l.h") == F.col("r.h")) & (F.col("l.text") == F.col("r.text"))
     return later.join(first, same & (F.col("l.doc_id") > F.col("r._least")), "left_semi").select("doc_id", "part", "h")
