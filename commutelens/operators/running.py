@@ -61,48 +61,121 @@ def running_total(
     )
 
 
+WAYS = 256
+"""Each round of narrowing cuts a range into so many; a power of two."""
+SMALL = 1 << 20
+"""Ranges of so many different values or fewer are put in order."""
+
+
+def _place(value: Column, splits: Column, ways: int) -> Column:
+    """How many of the ``ways - 1`` ordered splits are below ``value``, by halving."""
+    steps = F.array(*[F.lit(ways >> k) for k in range(1, ways.bit_length())])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: at + F.when(F.get(splits, at + step - 1) < value, step).otherwise(0),
+    )
+
+
+def _narrowed(rows: DataFrame, probabilities: Sequence[float], ways: int) -> DataFrame:
+    """The rows of those parts of each ``_range`` that hold a wanted position.
+
+    ``_first`` is the weight of the group before the range, ``_total`` that of the whole group.
+    The splits come from a sketch and need not be exact: parts are counted exactly, and equal
+    values are always in one part.
+    """
+    cuts = [k / ways for k in range(1, ways)]
+    splits = rows.groupBy("_range").agg(
+        F.array_sort(F.percentile_approx("_value", cuts, 20 * ways)).alias("_splits")
+    )
+    parts = rows.join(splits, "_range").select(
+        *[c for c in rows.columns], _place(F.col("_value"), F.col("_splits"), ways).alias("_part")
+    )
+    counted = parts.groupBy("_range", "_first", "_total", "_part").agg(F.sum("_times").alias("_held"))
+    # as many rows as ranges and parts
+    before = Window.partitionBy("_range").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_first") + F.coalesce(F.sum("_held").over(before), F.lit(0))
+    placed = counted.select("_range", "_part", first.alias("_from"), (first + F.col("_held")).alias("_upto"), "_total")
+    wanted = F.lit(False)
+    for p in probabilities:
+        for position in _positions(p):
+            wanted = wanted | ((F.col("_from") <= position) & (position < F.col("_upto")))
+    kept = placed.where(wanted).select("_range", "_part", F.col("_from"))
+    return parts.join(kept, ["_range", "_part"]).select(
+        F.struct("_range.key", (F.col("_range.at") * ways + F.col("_part")).alias("at")).alias("_range"),
+        F.col("_from").alias("_first"),
+        "_total",
+        "_value",
+        "_times",
+    )
+
+
+def _positions(p: float) -> tuple[Column, Column]:
+    position = (F.col("_total") - 1) * F.lit(float(p))
+    return F.floor(position), F.ceil(position)
+
+
 def weighted_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     weight: str | None,
     probabilities: Mapping[str, float],
+    ways: int = WAYS,
+    small: int = SMALL,
 ) -> DataFrame:
     """Exact quantiles of ``value`` repeated ``weight`` times, interpolated.
 
     One row per key; ``probabilities`` maps an output column to its probability.
     The rule is the usual one: position ``(n - 1) * p``, linear between neighbours.
     ``weight`` is integral; ``None`` counts each row once.
+
+    Nothing is sorted whole: each round cuts what is left of a group into ``ways`` ranges, counts
+    them, and keeps those that hold a neighbour of a wanted position, until none of them has more
+    than ``small`` different values.  Those are ordered, each by itself.
     """
     keys = list(keys)
     times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    counts = (
+    # a constant beside the keys: without any, the group is the whole table
+    counts = cut(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.sum(times).alias("_times"))
         .where(F.col("_times") > 0)
+        .select(F.struct(F.lit(0).alias("all"), *keys).alias("_key"), F.col(value).alias("_value"), "_times"),
+        "quantile-counts",
+    )
+    totals = counts.groupBy("_key").agg(F.sum("_times").alias("_total"))
+    rows = counts.join(totals, "_key").select(
+        F.struct(F.col("_key").alias("key"), F.lit(0).cast("decimal(38,0)").alias("at")).alias("_range"),
+        F.lit(0).cast("long").alias("_first"),
+        "_total",
+        "_value",
+        "_times",
     )
-    ranked = running_total(counts, keys, [value], {"_upto": "_times"})
+    while True:
+        rows = cut(_narrowed(rows, list(probabilities.values()), ways), "quantile-ranges")
+        largest = rows.groupBy("_range").count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= small:
+            break
+    inside = Window.partitionBy("_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("_upto", F.col("_first") + F.sum("_times").over(inside))
     picks = []
-    near = F.lit(False)
     for name, p in probabilities.items():
-        position = (F.col("_upto_total") - 1) * F.lit(float(p))
-        low, high = F.floor(position), F.ceil(position)
-        first = F.col("_upto") - F.col("_times")
-        holds_low = (first <= low) & (low < F.col("_upto"))
-        holds_high = (first <= high) & (high < F.col("_upto"))
-        near = near | holds_low | holds_high
+        low, high = _positions(p)
+        start = F.col("_upto") - F.col("_times")
         picks += [
-            F.max(F.when(holds_low, F.col(value))).alias(f"_low_{name}"),
-            F.max(F.when(holds_high, F.col(value))).alias(f"_high_{name}"),
-            F.max(position - low).alias(f"_part_{name}"),
+            F.max(F.when((start <= low) & (low < F.col("_upto")), F.col("_value"))).alias(f"_low_{name}"),
+            F.max(F.when((start <= high) & (high < F.col("_upto")), F.col("_value"))).alias(f"_high_{name}"),
+            F.max((F.col("_total") - 1) * F.lit(float(p)) - low).alias(f"_share_{name}"),
         ]
-    found = ranked.where(near).groupBy(*keys).agg(*picks)
+    # without keys there is one row, also of an empty table
+    found = ranked.select("*", *[F.col(f"_range.key.{k}") for k in keys]).groupBy(*keys).agg(*picks)
     return found.select(
         *keys,
         *[
             (
-                F.col(f"_low_{n}") + F.col(f"_part_{n}") * (F.col(f"_high_{n}") - F.col(f"_low_{n}"))
+                F.col(f"_low_{n}") + F.col(f"_share_{n}") * (F.col(f"_high_{n}") - F.col(f"_low_{n}"))
             ).alias(n)
             for n in probabilities
         ],
