@@ -3,7 +3,8 @@
 Patterns find the base spans; any other long token that mixes letters and digits at random is
 a candidate.  The values of all of them are hashed, and for each hash the documents and the
 owners that hold it are counted over the whole corpus.  What many owners hold is an example
-that is copied around; what belongs to few looks live, and such candidates become spans too.
+that is copied around, and so is what few owners hold in very many documents; what belongs to few
+in few looks live, and such candidates become spans too.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 FEW_OWNERS = 2
 """A value that more owners hold is an example."""
+FEW_REPOSITORIES = 20
+"""So is a value that its owners hold in more different repositories than this each, on average."""
 ENTROPY = 3.0
 """Least entropy of a live value, in bits a character."""
 
@@ -137,13 +140,16 @@ def ownership(spans: DataFrame) -> DataFrame:
     )
 
 
-def find(docs: DataFrame, few: int = FEW_OWNERS, owner: str = "source") -> DataFrame:
+def find(
+    docs: DataFrame, few: int = FEW_OWNERS, owner: str = "source", few_repositories: int = FEW_REPOSITORIES
+) -> DataFrame:
     """Spans of each row of ``docs (doc_id, text, owner)``.
 
-    ``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` and ``n_live, n_shared``: how many
-    spans have a value of few owners, and of many.  A document is a repository.  A null
-    text is empty, a null owner is one owner of its own, rows that repeat an id and a text
-    are one repository and get equal results.  Other columns are ignored.
+    ``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` and ``n_live, n_shared, n_copied``: how
+    many spans have a random-looking value of few owners and repositories, a value of many owners,
+    and a value that few owners hold in many repositories.  A text of an owner is a repository,
+    so copies of one document are one.  A null text is empty, a null owner is one owner of its
+    own, rows that repeat an id and a text get equal results.  Other columns are ignored.
     """
     keyed = docs.select(
         "doc_id",
@@ -153,13 +159,13 @@ def find(docs: DataFrame, few: int = FEW_OWNERS, owner: str = "source") -> DataF
     )
     scanned = cut(scan(keyed, ["doc_id", "_text", "_owner"]), "secrets-scanned")
     spans = scanned.select("doc_id", "_text", "_owner", F.inline("found"))
-    repository = F.struct("doc_id", "_text")
-    known = ownership(spans.select("value", repository.alias("repository"), F.col("_owner").alias("owner")))
-    live = F.col("strong") & (F.col("owners") <= few)
+    known = ownership(spans.select("value", F.col("_text").alias("repository"), F.col("_owner").alias("owner")))
+    copied = (F.col("owners") <= few) & (F.col("repositories") > few_repositories * F.col("owners"))
+    live = F.col("strong") & (F.col("owners") <= few) & ~copied
     judged = (
         spans.distinct()
         .join(known, "value")
-        .withColumn("live", live)
+        .withColumns({"live": live, "copied": copied})
         .groupBy("doc_id", "_text", "_owner")
         .agg(
             F.collect_list(
@@ -170,6 +176,7 @@ def find(docs: DataFrame, few: int = FEW_OWNERS, owner: str = "source") -> DataF
             ).alias("_spans"),
             F.sum(F.col("live").cast("long")).alias("n_live"),
             F.sum((F.col("owners") > few).cast("long")).alias("n_shared"),
+            F.sum(F.col("copied").cast("long")).alias("n_copied"),
         )
         .withColumnsRenamed({"doc_id": "_id", "_text": "_of", "_owner": "_by"})
     )
@@ -191,6 +198,7 @@ def find(docs: DataFrame, few: int = FEW_OWNERS, owner: str = "source") -> DataF
         F.coalesce(F.array_join(as_text, ","), F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
+        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
     )
 
 

@@ -219,6 +219,17 @@ def test_op7(spark, sf_dir, texts):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
 
 
+def test_a_value_all_over_one_source_is_an_example(spark):
+    """Many different texts of one owner: an example.  Copies of one text: still live, in each copy."""
+    spread, live = "Zk3vQ9xT1mB7nR5wL2pD8s", "Yh4uW8cK2nV6bM1qX5tJ9f"
+    rows = [(i, "hot", f"page {i} shows {spread} here") for i in range(300)]
+    rows += [(1000 + i, None, f"mine {live}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in secret_scan.find(docs).collect()}
+    assert {(got[i].spans, got[i].n_live, got[i].n_shared, got[i].n_copied) for i in range(300)} == {("", 0, 0, 1)}
+    assert {(got[1000 + i].spans, got[1000 + i].n_live, got[1000 + i].n_copied) for i in range(60)} == {("token:5:27", 1, 0)}
+
+
 def test_ownership_parts_examples_from_secrets(spark):
     live, shared = "Zk3vQ9xT1mB7nR5wL2pD8s", "Yh4uW8cK2nV6bM1qX5tJ9f"
     rows = [(i, f"s{i}", f"use {shared} here") for i in range(6)] + [(6, "s0", f"mine {live}"), (7, "s0", "secret=token:abcdefgh")]
