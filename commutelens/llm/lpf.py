@@ -287,12 +287,15 @@ def _changes(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _compare_spread(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: one row for each string, by two hashes of it."""
+    """The same for groups of any size: one row for each string, by two hashes of it.
+
+    The second one starts from the salt: after the string, it would follow from the first.
+    """
     strings = contexts.select(
         "doc_id", "_text", "anchor", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.length("bytes") - length)).alias("at"),
         "lo", "bytes",
     ).withColumn("s", F.substring("bytes", (F.col("at") - F.col("lo")).cast("int") + 1, length))
-    keyed = strings.select("doc_id", "_text", F.col("at").alias("lo"), F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(1)).alias("k2"))
+    keyed = strings.select("doc_id", "_text", F.col("at").alias("lo"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"))
     equal = Window.partitionBy("k1", "k2").orderBy(*_order())
     return keyed.withColumn("n", F.rank().over(equal)).where("n > 1").select("doc_id", "_text", "lo", F.col("lo").alias("hi"))
 
