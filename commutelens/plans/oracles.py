@@ -268,6 +268,11 @@ oracle(
     """SELECT trip_id, stop_sequence, stop_id, arrival_time, departure_time FROM st
     WHERE trip_id % 50 <> 7""",
 )
+oracle(
+    "src_file_manifest",
+    """SELECT trip_id % 16 AS part, 'whole' AS state, count(*) FILTER (trip_id % 50 <> 7) AS rows,
+    count(*) FILTER (trip_id % 50 = 7) AS bad_lines FROM st GROUP BY ALL""",
+)
 oracle("sink_ttm", TTM)
 oracle("sink_performance", f"SELECT {PERF} FROM perf")
 oracle(

@@ -142,6 +142,23 @@ def src_bad_rows(spark, sf):
     return good
 
 
+@query
+def src_file_manifest(spark, sf):
+    """Packed files by trip, some lines broken: what the manifest finds in each part."""
+    folder = new_folder(spark, "untidy-packed")
+    line = F.when(
+        F.col("trip_id") % 50 == 7, F.concat(F.lit("broken,"), F.col("trip_id").cast("string"))
+    ).otherwise(F.concat_ws(",", "trip_id", "stop_sequence", "stop_id", "arrival_time", "departure_time"))
+    lines = I.stop_times(spark, sf).select(line.alias("value"), (F.col("trip_id") % 16).alias("part"))
+    lines.write.partitionBy("part").option("compression", "gzip").text(folder)
+    return (
+        IO.file_manifest(spark, folder, schemas.STOP_TIMES, header=False)
+        .withColumn("part", F.regexp_extract("file", r"part=([^/]+)/", 1).cast("long"))
+        .groupBy("part", "state")
+        .agg(F.sum("rows").alias("rows"), F.sum("bad_lines").alias("bad_lines"))
+    )
+
+
 @query
 def sink_ttm(spark, sf):
     folder = new_folder(spark, "ttm")

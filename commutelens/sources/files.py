@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import gzip
+import io
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,23 +172,94 @@ def read_tolerant(
     table.  Whether a line is readable shows only when all its fields are parsed, so the
     files are parsed once, whole, and all results come from the stored table.
     """
-    corrupt = "_unreadable"
+    raw, files = _parsed(spark, path, schema, header)
+    silent = files.join(raw.select(_one_slash("_file")).distinct(), "file", "left_anti")
+    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+    return good, raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT), silent
+
+
+CORRUPT = "_unreadable"
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> tuple[DataFrame, DataFrame]:
+    """All lines with the name of their file, as a stored table, and the names of all files."""
     found = (
         spark.read.option("header", header)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("ignoreCorruptFiles", True)
-        .schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]))
+        .schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
         .csv(path)
     )
-    # a local path has one slash in one place and three in the other
-    one_slash = F.regexp_replace("file", "^file:/+", "file:/").alias("file")
-    raw = cut(found.withColumn("_file", F.col("_metadata.file_path")))
-    files = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string").select(one_slash)
-    spoke = raw.select(F.col("_file").alias("file")).select(one_slash).distinct()
-    silent = files.join(spoke, "file", "left_anti")
-    good = raw.where(F.col(corrupt).isNull()).drop(corrupt, "_file")
-    return good, raw.where(F.col(corrupt).isNotNull()).select(corrupt), silent
+    files = spark.createDataFrame([(f,) for f in found.inputFiles()], "_file string").select(_one_slash("_file"))
+    return cut(found.withColumn("_file", F.col("_metadata.file_path"))), files
+
+
+def _one_slash(column: str) -> Column:
+    """A local path has one slash in one place and three in the other."""
+    return F.regexp_replace(column, "^file:/+", "file:/").alias("file")
+
+
+def _listed(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """``file, bytes, content`` of files that hold something; the content is read only if it is used."""
+    listed = spark.read.format("binaryFile").options(**options).load(path)
+    return listed.select("length", "content", F.col("_metadata.file_path").alias("_file")).select(
+        _one_slash("_file"), F.col("length").alias("bytes"), "content"
+    )
+
+
+def _ends_whole(content: bytes) -> bool:
+    """Whether a gzip file can be read to its end; a megabyte of it is unpacked at a time."""
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as stream:
+        try:
+            while stream.read(1 << 20):
+                pass
+        except (EOFError, OSError, zlib.error):
+            return False
+    return True
+
+
+def file_manifest(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, most: int = 1 << 30
+) -> DataFrame:
+    """``file, bytes, rows, bad_lines, state`` of each file of a folder.
+
+    A file that breaks off gives the rows before the break and no error, so the counts alone don't
+    show it: gzip files are unpacked to their end.  ``state`` is ``whole``, ``damaged`` (what
+    rows there are may not be all), ``empty`` (no line but the header), or ``unchecked``: a gzip file
+    of more than ``most`` bytes, which is more than one value should hold.
+    """
+    raw, files = _parsed(spark, path, schema, header)
+    counts = raw.groupBy(_one_slash("_file")).agg(
+        F.count(F.when(F.col(CORRUPT).isNull(), 1)).alias("rows"), F.count(CORRUPT).alias("bad_lines")
+    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [_ends_whole(c.as_py()) for c in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(ends, pa.bool_())], ["file", "ends"])
+
+    packed = _listed(spark, path, pathGlobFilter="*.gz").where(F.col("bytes") <= most)
+    ends = packed.select("file", "content").mapInArrow(check, "file string, ends boolean")
+    state = (
+        F.when(~F.col("ends"), "damaged")
+        .when(F.col("file").endswith(".gz") & F.col("ends").isNull(), "unchecked")
+        .when(F.col("rows").isNull(), "empty")
+        .otherwise("whole")
+    )
+    none = F.lit(0).cast("long")
+    return (
+        files.join(_listed(spark, path).select("file", "bytes"), "file", "left")
+        .join(counts, "file", "left")
+        .join(ends, "file", "left")
+        .select(
+            "file",
+            F.coalesce("bytes", none).alias("bytes"),
+            F.coalesce("rows", none).alias("rows"),
+            F.coalesce("bad_lines", none).alias("bad_lines"),
+            state.alias("state"),
+        )
+    )
 
 
 def write_ttm(ttm: DataFrame, folder: str) -> None:

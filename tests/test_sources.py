@@ -131,6 +131,34 @@ def test_bad_rows_are_set_aside(spark, tmp_path):
     assert [r.file.rsplit("/", 1)[1] for r in silent.collect()] == ["broken.csv.gz"]
 
 
+def test_manifest_tells_files_that_break_off(spark, tmp_path):
+    import gzip
+    import random
+
+    header, some = "scenario,max_fleet,total_distance\n", random.Random(3)
+    lines = "".join(f"s{i},{some.randrange(99)},{some.random()}\n" for i in range(20_000))
+    packed = gzip.compress((header + lines).encode())
+    (tmp_path / "a file.csv").write_text(header + "a,1,2.5\nnonsense\nb,x,1\nc,3,4.5\n")
+    (tmp_path / "whole.csv.gz").write_bytes(packed)
+    (tmp_path / "two.csv.gz").write_bytes(gzip.compress(header.encode()) + gzip.compress(b"a,1,2.5\n"))
+    (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "broken.csv.gz").write_bytes(b"\x1f\x8b no archive")
+    (tmp_path / "only-header.csv").write_text(header)
+    (tmp_path / "nothing.csv").write_text("")
+    found = IO.file_manifest(spark, str(tmp_path), schemas.REMOVAL_COST).collect()
+    got = {r.file.rsplit("/", 1)[1].replace("%20", " "): r for r in found}
+    assert len(found) == 7
+    assert {n: r.state for n, r in got.items()} == {
+        "a file.csv": "whole", "whole.csv.gz": "whole", "two.csv.gz": "whole", "cut.csv.gz": "damaged",
+        "broken.csv.gz": "damaged", "only-header.csv": "empty", "nothing.csv": "empty",
+    }
+    assert (got["a file.csv"].rows, got["a file.csv"].bad_lines) == (2, 2)
+    assert (got["whole.csv.gz"].rows, got["two.csv.gz"].rows, got["broken.csv.gz"].rows) == (20_000, 1, 0)
+    assert got["cut.csv.gz"].rows < 20_000 and got["cut.csv.gz"].bytes == len(packed) // 2
+    unchecked = IO.file_manifest(spark, str(tmp_path), schemas.REMOVAL_COST, most=100).where("state = 'unchecked'")
+    assert {r.file.rsplit("/", 1)[1] for r in unchecked.collect()} == {"whole.csv.gz", "cut.csv.gz"}
+
+
 def test_model_from_file_name(spark, tmp_path):
     for trip in (17, 18):
         (tmp_path / f"{trip}.prfmnc.csv").write_text(
