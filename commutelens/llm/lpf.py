@@ -1,13 +1,15 @@
-"""Removal of repeated byte strings by hashes of anchored contexts.
+"""Removal of repeated byte strings by longest previous factors.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier, that is, where the
-longest previous factor is ``LENGTH`` or more.  The factors themselves are not computed.
-
-Sorting all suffixes of a corpus is not called for: most of its strings occur once.  Each
-string has an anchor, the ``GRAM``-byte piece of least hash in it, so equal strings have equal
-anchors at equal places.  Neighbouring strings share their anchor; such a run is one row.
-Rows whose whole context occurs earlier are repeats at once.  Only where an anchor occurs in
-different contexts are the strings themselves sorted and compared, group by group.
+longest previous factor is ``LENGTH`` or more.  Factors come from the suffix order: of the strings
+before and after a string in that order, the nearest ones at a smaller position share most with it.
+Suffixes are ordered up to ``LENGTH`` bytes, which is as far as the rule asks.
+
+Most strings of a corpus occur once and need no place in the order.  Each string has an anchor,
+the ``GRAM``-byte piece of least hash in it, so equal strings have equal anchors at equal places.
+Neighbouring strings share their anchor; such a run is one row.  A run whose whole context occurs
+earlier is a repeat and stands for nothing new; only where an anchor occurs in different contexts are
+their strings put in suffix order.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,10 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 18
 """Bytes looked at together; a longer document is looked at in overlapping pieces."""
-BIG = 20_000
-"""Groups of more contexts are compared by Spark over all tasks instead of within one."""
+BIG = 2_000
+"""Groups of more contexts are compared over all tasks instead of within one."""
+HELD = 8 << 20
+"""Bytes of text whose equal contexts are put together before anything is shuffled."""
 TOGETHER = 1_000
 """Contexts that are compared at a time, more only in a larger group."""
 
@@ -101,61 +106,79 @@ def runs(data: np.ndarray, document: np.ndarray, hasher: Hasher, length: int, gr
     return lo, hi, hashes[at], _mixed(context ^ _mixed(shape + np.uint64(1)))
 
 
-def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
+def anchored(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, held: int = HELD
+) -> DataFrame:
     """``doc_id, _text, lo, hi, anchor, context, gone`` of each run in ``docs (doc_id, _text, text)``.
 
-    A run that repeats one of the same document is ``gone`` and gets an anchor of its own, so
-    that a line a document repeats a thousand times adds one row to its anchor's group.
+    A run that repeats an earlier one of the same ``HELD`` bytes of documents is ``gone`` and gets an
+    anchor of its own, so that a passage of a thousand documents, or a line that one document
+    repeats a thousand times, adds one row to its anchor's group.
     """
 
     def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         """Documents, or parts of long ones, of about ``chunk`` bytes together: row, offset, bytes."""
-        held, size = [], 0
+        together, size = [], 0
         for row, text in enumerate(texts):
             if len(text) < length:
                 continue
             for offset in range(0, len(text) - length + 1, chunk):
                 part = text[offset : offset + chunk + length - 1]
-                if held and size + len(part) > chunk + length:
-                    yield held
-                    held, size = [], 0
-                held.append((row, offset, part))
+                if together and size + len(part) > chunk + length:
+                    yield together
+                    together, size = [], 0
+                together.append((row, offset, part))
                 size += len(part)
-        if held:
-            yield held
+        if together:
+            yield together
+
+    def marked(batch: pa.RecordBatch, place: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+        row, lo, hi, anchor, context = (np.concatenate(c) for c in zip(*found))
+        # runs come in order of their position, so the first of equal contexts is the earliest
+        order = np.argsort(context, kind="stable")
+        same = np.concatenate([[False], context[order][1:] == context[order][:-1]])
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        again = np.zeros(len(lo), bool)
+        again[order] = (place[row[order]] != place[row[head]]) | (lo[order] != lo[head])
+        alone = _mixed(anchor + np.arange(len(lo), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        rows = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(rows),
+                batch.column("_text").take(rows),
+                pa.array(lo),
+                pa.array(hi),
+                pa.array(np.where(again, alone, anchor).view(np.int64)),
+                pa.array(context.view(np.int64)),
+                pa.array(again),
+            ],
+            ["doc_id", "_text", "lo", "hi", "anchor", "context", "gone"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(2 * (chunk + length))
         for batch in batches:
+            batch = batch.take(_in_order(batch.column("doc_id"), batch.column("_text")))
+            new = _changes(batch.column("doc_id")) | _changes(batch.column("_text"))
+            place = np.cumsum(new)
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for held in pieces(texts):
-                data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
-                sizes = np.array([len(p) for _, _, p in held])
+            found, size = [], 0
+            for parts in pieces(texts):
+                data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
+                sizes = np.array([len(p) for _, _, p in parts])
                 starts = np.cumsum(sizes) - sizes
-                part = np.repeat(np.arange(len(held)), sizes)
+                part = np.repeat(np.arange(len(parts)), sizes)
                 lo, hi, anchor, context = runs(data, part, hasher, length, gram)
-                if not len(lo):
-                    continue
-                of = part[lo]
-                shift = np.array([o for _, o, _ in held])[of] - starts[of]
-                order = np.lexsort((lo, context, of))
-                again = np.zeros(len(lo), bool)
-                same = (of[order][1:] == of[order][:-1]) & (context[order][1:] == context[order][:-1])
-                again[order[1:][same]] = True
-                alone = _mixed(anchor + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + of.astype(np.uint64))
-                rows = pa.array(np.array([r for r, _, _ in held])[of])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(rows),
-                        batch.column("_text").take(rows),
-                        pa.array((lo + shift).astype(np.int64)),
-                        pa.array((hi + shift).astype(np.int64)),
-                        pa.array(np.where(again, alone, anchor).view(np.int64)),
-                        pa.array(context.view(np.int64)),
-                        pa.array(again),
-                    ],
-                    ["doc_id", "_text", "lo", "hi", "anchor", "context", "gone"],
-                )
+                if len(lo):
+                    of = part[lo]
+                    shift = np.array([o for _, o, _ in parts])[of] - starts[of]
+                    found.append((np.array([r for r, _, _ in parts])[of], lo + shift, hi + shift, anchor, context))
+                size += len(data)
+                if found and size >= held:
+                    yield marked(batch, place, found)
+                    found, size = [], 0
+            if found:
+                yield marked(batch, place, found)
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.mapInArrow(
@@ -204,71 +227,99 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def previous_factors(strings: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which strings have an equal one at a smaller position.
+    """Longest previous factor of each string, at most its length.
 
-    ``strings`` are of one length, ``at`` are their positions in increasing order, equal for
-    the same position.  They are put in suffix order; within a run of equal ones, all but those
-    of the smallest position have a longest previous factor of their whole length.
+    ``strings`` (one row of bytes each) are of one length and ``at`` their positions; equal positions
+    are one string.  Of the strings that start earlier, the nearest before and the nearest after in
+    suffix order share most with a string; both are known when it leaves the stack.
     """
-    order = np.argsort(strings, kind="stable")
-    equal = np.concatenate([[False], strings[order][1:] == strings[order][:-1]])
-    head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
-    out = np.zeros(len(order), bool)
-    out[order] = equal & (at[order] > at[order][head])
-    return out
+    at, index, back = np.unique(at, return_index=True, return_inverse=True)
+    length = strings.shape[1]
+    order = np.argsort(np.ascontiguousarray(strings[index]).view(f"S{length}")[:, 0], kind="stable")
+    sorted_ = strings[index[order]]
+    differ = sorted_[1:] != sorted_[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    factors = [0] * len(at)
+    # ranks whose next smaller position is still to come, and what each shares with its previous one
+    stack: list[int] = []
+    before: list[int] = []
+    for position, common in zip([*order.tolist(), -1], [0, *shared.tolist(), 0]):
+        while stack and position < stack[-1]:
+            previous = before.pop()
+            factors[stack.pop()] = max(previous, common)
+            common = min(previous, common)
+        stack.append(position)
+        before.append(common)
+    return np.array(factors)[back]
+
+
+def _strings(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of the contexts in ``table``: bytes, row, place in the context, longest previous factor.
+
+    Equal strings share an anchor, so a factor of the whole length is found if the anchor's
+    contexts are all here; shorter ones are those found among the rows at hand.
+    """
+    texts = table.column("bytes").to_pylist()
+    count = np.array([len(t) - length + 1 for t in texts])
+    row = np.repeat(np.arange(len(texts)), count)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.repeat(np.cumsum(count + length - 1) - (count + length - 1), count) + within
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[starts]
+    # numbers in order of document and place; runs of a document do not overlap
+    order = _in_order(*(table.column(c).combine_chunks() for c in ("doc_id", "_text", "lo")))
+    ordered = table.select(["doc_id", "_text", "lo"]).take(order)
+    new = _changes(ordered.column("doc_id")) | _changes(ordered.column("_text")) | _changes(ordered.column("lo"))
+    number = np.empty(len(texts), np.int64)
+    number[order.to_numpy()] = np.cumsum(new)
+    return strings, row, within, previous_factors(strings, number[row] * length + within)
+
+
+def _repeated(table: pa.Table, row: np.ndarray, within: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+    """``doc_id, _text, lo, hi`` of runs of the strings ``gone``."""
+    new = np.flatnonzero((np.diff(gone) != 1) | (np.diff(row[gone]) != 0)) + 1
+    first, last = gone[np.concatenate([[0], new])], gone[np.concatenate([new, [len(gone)]]) - 1]
+    rows, lo = pa.array(row[first]), table.column("lo").to_numpy()
+    return pa.RecordBatch.from_arrays(
+        [
+            table.column("doc_id").combine_chunks().take(rows),
+            table.column("_text").combine_chunks().take(rows),
+            pa.array(lo[row[first]] + within[first]),
+            pa.array(lo[row[first]] + within[last]),
+        ],
+        ["doc_id", "_text", "lo", "hi"],
+    )
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """About ``TOGETHER`` rows at a time; an anchor's rows, which come together, stay so."""
+    held: pa.Table | None = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        starts = np.flatnonzero(_changes(held.column("anchor")))
+        done = 0
+        while True:
+            # the last group may go on in the next batch
+            past = starts[starts >= done + TOGETHER]
+            if not len(past):
+                break
+            yield held.slice(done, int(past[0]) - done)
+            done = int(past[0])
+        held = held.slice(done)
+    if held is not None and held.num_rows:
+        yield held
 
 
 def _compare_groups(contexts: DataFrame, length: int) -> DataFrame:
     """``doc_id, _text, lo, hi`` of runs of repeats, each group within a task."""
 
-    def compared(table: pa.Table) -> pa.RecordBatch:
-        texts = table.column("bytes").to_pylist()
-        lo = table.column("lo").to_numpy()
-        count = np.array([len(t) - length + 1 for t in texts])
-        row = np.repeat(np.arange(len(texts)), count)
-        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.repeat(np.cumsum(count + length - 1) - (count + length - 1), count) + within
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]).view(f"S{length}")[:, 0]
-        # a number for each position; rows come in order of document and place
-        document = _changes(table.column("doc_id")) | _changes(table.column("_text"))
-        anchor = _changes(table.column("anchor"))
-        new = document | anchor | np.concatenate([[True], lo[1:] != lo[:-1]])
-        position = np.repeat(np.cumsum(new), count) * np.int64(length) + within
-        gone = np.flatnonzero(previous_factors(strings, position))
-        if len(gone):
-            new = np.flatnonzero((np.diff(gone) != 1) | (np.diff(row[gone]) != 0)) + 1
-            first, last = gone[np.concatenate([[0], new])], gone[np.concatenate([new, [len(gone)]]) - 1]
-        else:
-            first = last = gone
-        rows = pa.array(row[first])
-        return pa.RecordBatch.from_arrays(
-            [
-                table.column("doc_id").combine_chunks().take(rows),
-                table.column("_text").combine_chunks().take(rows),
-                pa.array(lo[row[first]] + within[first]),
-                pa.array(lo[row[first]] + within[last]),
-            ],
-            ["doc_id", "_text", "lo", "hi"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            more = pa.Table.from_batches([batch])
-            held = more if held is None else pa.concat_tables([held, more])
-            starts = np.flatnonzero(_changes(held.column("anchor")))
-            done = 0
-            while True:
-                # groups stay whole, and the last one may go on in the next batch
-                past = starts[starts >= done + TOGETHER]
-                if not len(past):
-                    break
-                yield compared(held.slice(done, int(past[0]) - done))
-                done = int(past[0])
-            held = held.slice(done)
-        if held is not None and held.num_rows:
-            yield compared(held)
+        for table in _by_group(batches):
+            _, row, within, factor = _strings(table, length)
+            gone = np.flatnonzero(factor >= length)
+            if len(gone):
+                yield _repeated(table, row, within, gone)
 
     kind = dict(contexts.dtypes)["doc_id"]
     return (
@@ -279,25 +330,67 @@ def _compare_groups(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _changes(column: pa.ChunkedArray) -> np.ndarray:
+def _in_order(*columns: pa.Array) -> pa.Array:
+    """Places of the rows in ascending order of all columns, null last."""
+    names = [str(i) for i in range(len(columns))]
+    table = pa.table(list(columns), names)
+    return pc.sort_indices(table, [(n, "ascending") for n in names], null_placement="at_end")
+
+
+def _changes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Where a value differs from the one before; null equals null."""
-    codes = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    codes = column.dictionary_encode(null_encoding="encode")
     codes = codes.indices.to_numpy(zero_copy_only=False)
     return np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
 
 
 def _compare_spread(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: one row for each string, by two hashes of it.
+    """The same for groups of any size.
 
-    The second one starts from the salt: after the string, it would follow from the first.
+    Rows are put in suffix order where they lie first: what has a previous factor there is a repeat.
+    The other strings, one a task and text at most, meet by their bytes; of equal ones each but the
+    earliest has the one before as its nearest smaller position.
     """
-    strings = contexts.select(
-        "doc_id", "_text", "anchor", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.length("bytes") - length)).alias("at"),
-        "lo", "bytes",
-    ).withColumn("s", F.substring("bytes", (F.col("at") - F.col("lo")).cast("int") + 1, length))
-    keyed = strings.select("doc_id", "_text", F.col("at").alias("lo"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"))
-    equal = Window.partitionBy("k1", "k2").orderBy(*_order())
-    return keyed.withColumn("n", F.rank().over(equal)).where("n > 1").select("doc_id", "_text", "lo", F.col("lo").alias("hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                table = pa.Table.from_batches([batch.slice(start, TOGETHER)])
+                strings, row, within, factor = _strings(table, length)
+                gone, left = np.flatnonzero(factor >= length), np.flatnonzero(factor < length)
+                if len(gone):
+                    done = _repeated(table, row, within, gone)
+                    yield done.append_column("s", pa.nulls(done.num_rows, pa.binary()))
+                rows = pa.array(row[left])
+                at = pa.array(table.column("lo").to_numpy()[row[left]] + within[left])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        table.column("doc_id").combine_chunks().take(rows),
+                        table.column("_text").combine_chunks().take(rows),
+                        at,
+                        at,
+                        pa.array([s.tobytes() for s in strings[left]], pa.binary()),
+                    ],
+                    ["doc_id", "_text", "lo", "hi", "s"],
+                )
+
+    kind = dict(contexts.dtypes)["doc_id"]
+    strings = (
+        contexts.sortWithinPartitions("anchor", *_order())
+        .select("doc_id", "_text", "lo", "anchor", "bytes")
+        .mapInArrow(run, f"doc_id {kind}, _text long, lo long, hi long, s binary")
+    )
+    # a repeat found already has a key of its own, shorter than any string
+    key = F.coalesce("s", F.encode(F.concat_ws(":", "_text", "lo"), "utf-8"))
+    equal = Window.partitionBy("_key").orderBy(*_order())
+    return (
+        strings.withColumn("_key", key)
+        .withColumn("n", F.rank().over(equal))
+        .where("s IS NULL OR n > 1")
+        .select("doc_id", "_text", "lo", "hi")
+    )
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, big: int = BIG) -> DataFrame:

@@ -141,6 +141,33 @@ def test_lpf_on_hard_texts(spark, big):
     assert got == brute_lpf(texts)
 
 
+def test_previous_factors():
+    rng = np.random.default_rng(5)
+    for n, letters, length in ((1, 2, 4), (60, 2, 8), (200, 3, 5), (300, 2, 20)):
+        strings = rng.integers(0, letters, (n, length), dtype=np.uint8)
+        at = np.sort(rng.integers(0, 2 * n, n))
+        strings = strings[np.searchsorted(at, at)]  # one string a position
+        mixed = rng.permutation(n)
+        got = lpf.previous_factors(strings[mixed], at[mixed])
+        for s, position, factor in zip(strings[mixed], at[mixed], got):
+            earlier = strings[at < position]
+            shared = [int(np.argmin(np.append(s == e, False))) for e in earlier]
+            assert factor == max(shared, default=0)
+
+
+def test_copies_of_a_passage_are_one_row_of_its_group(spark):
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefgh "), 600))
+    docs = spark.createDataFrame([(i, f"{i} {passage} {i}") for i in range(400)], "doc_id long, text string")
+    keyed = docs.coalesce(1).withColumn("_text", F.xxhash64("text"))
+    inside = lpf.anchored(keyed).where("NOT gone").groupBy("anchor", "context").count().where("count > 1")
+    assert inside.count() == 0
+    want = brute_lpf({i: f"{i} {passage} {i}" for i in range(400)})
+    for big in (lpf.BIG, 1):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in lpf.dedup(docs, big=big).collect()}
+        assert got == want
+
+
 def test_long_documents_are_cut_into_pieces(spark):
     rng = np.random.default_rng(4)
     text = "".join(rng.choice(list("abcdefgh"), 30_000))
