@@ -45,13 +45,18 @@ RULES = [
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings of the trees; ``max_rows`` bounds the distinct labelled URLs they learn from."""
+    """Settings of the trees; ``max_rows`` bounds the distinct labelled URLs they learn from.
+
+    ``folds`` are parts of the hosts: the trees see a URL with shares of blocked URLs from the
+    other parts, as its own label is in its own part's shares.
+    """
 
     trees: int = 12
     depth: int = 4
     step: float = 0.2
     max_rows: int = 200_000
     smoothing: float = 20.0
+    folds: int = 5
     seed: int = 17
 
 
@@ -124,16 +129,28 @@ def lexical() -> dict[str, Column]:
 
 
 def featured(pages: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> DataFrame:
-    """``pages`` (with ``url, host, path``) and a struct ``_x`` of all features.
+    """``pages`` (with ``url, host, path``), a struct ``_x`` of all features and a struct ``_learn``.
 
     ``labels (url, blocked)`` gives each suffix its share of blocked URLs, drawn to the share
-    of all.  Suffixes are grouped before anything is joined.
+    of all.  ``_learn`` has the shares without the hosts of the URL's fold, in place of those in
+    ``_x``: so a suffix tells the trees as much as it tells of hosts not seen yet.  Suffixes are
+    grouped before anything is joined.
     """
     out = pages.withColumn("_lexical", F.struct(*[c.alias(n) for n, c in lexical().items()]))
     host, _ = host_and_path(F.col("url"))
     marked = labels.select(host.alias("host"), "blocked")
     overall = marked.agg(F.coalesce(F.avg("blocked"), F.lit(0.5)).alias("mean")).first()["mean"]
-    columns = [F.col("_lexical.*")]
+    columns, learn = [F.col("_lexical.*")], []
+
+    def fold(host: Column) -> Column:
+        return F.pmod(F.xxhash64(host, F.lit(how.seed)), F.lit(how.folds)).cast("int")
+
+    def drawn(blocked: Column, all_: Column) -> Column:
+        return (F.coalesce(blocked, F.lit(0)) + how.smoothing * overall) / (F.coalesce(all_, F.lit(0)) + how.smoothing)
+
+    def in_fold(value: Column) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(fold(F.col("host")) == k, value)), F.lit(0)) for k in range(how.folds)])
+
     for n in (1, 2):
         end = f"_end{n}"
         seen = (
@@ -143,12 +160,17 @@ def featured(pages: DataFrame, labels: DataFrame, how: Boosting = Boosting()) ->
             .agg(F.log1p(F.sum("pages")).alias(f"pages{n}"), F.log1p(F.count("*")).alias(f"hosts{n}"))
         )
         share = marked.groupBy(suffix(F.col("host"), n).alias(end)).agg(
-            ((F.sum("blocked") + how.smoothing * overall) / (F.count("*") + how.smoothing)).alias(f"blocked{n}")
+            F.sum("blocked").alias(f"_blocked{n}"),
+            F.count("*").alias(f"_all{n}"),
+            in_fold(F.col("blocked")).alias(f"_own_blocked{n}"),
+            in_fold(F.lit(1)).alias(f"_own_all{n}"),
         )
-        table = seen.join(share, end, "left").fillna(overall, [f"blocked{n}"])
-        out = out.withColumn(end, suffix(F.col("host"), n)).join(table, end)
-        columns += [f"pages{n}", f"hosts{n}", f"blocked{n}"]
-    return out.select(*pages.columns, F.struct(*columns).alias("_x"))
+        out = out.withColumn(end, suffix(F.col("host"), n)).join(seen.join(share, end, "left"), end)
+        own_blocked, own_all = (F.get(f"_own_{what}{n}", fold(F.col("host"))) for what in ("blocked", "all"))
+        columns += [f"pages{n}", f"hosts{n}", drawn(F.col(f"_blocked{n}"), F.col(f"_all{n}")).alias(f"blocked{n}")]
+        others = drawn(F.col(f"_blocked{n}") - own_blocked, F.col(f"_all{n}") - own_all)
+        learn.append(others.alias(f"blocked{n}"))
+    return out.select(*pages.columns, F.struct(*columns).alias("_x"), F.struct(*learn).alias("_learn"))
 
 
 def judge(
@@ -180,7 +202,8 @@ def judge(
         taken = labels.where(F.pmod(F.xxhash64("url", F.lit(how.seed)), F.lit(1_000_000)) < int(share * 1_000_000))
         names = x.schema["_x"].dataType.names
         assembler = VectorAssembler(inputCols=names, outputCol="features")
-        one_each = x.dropDuplicates(["url"]).select("url", "_x.*")
+        shares = {n: F.col(f"_learn.{n}") for n in x.schema["_learn"].dataType.names}
+        one_each = x.dropDuplicates(["url"]).select("url", "_x.*", "_learn").withColumns(shares)
         training = assembler.transform(one_each.join(taken, "url")).select(
             F.col("blocked").cast("double").alias("label"), "features"
         )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check_oracle import compare, connect
-from commutelens.llm import decon, lines, lpf, maxent, mix, rules, secret_scan, simhash
+from commutelens.llm import decon, lines, lpf, maxent, mix, rules, secret_scan, simhash, urls
 from commutelens.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,8 +27,8 @@ def texts(spark, sf_dir):
     return {r.doc_id: r.text or "" for r in sorted(rows, key=lambda r: r.doc_id)}
 
 
-def results(name, spark, sf_dir):
-    return {r.doc_id: r for r in QUERIES[name](spark, sf_dir).collect()}
+def results(name, spark, sf_dir, key="doc_id"):
+    return {r[key]: r for r in QUERIES[name](spark, sf_dir).collect()}
 
 
 def test_names_and_sql():
@@ -333,3 +333,54 @@ def test_pipeline(spark, sf_dir, texts):
     assert all(a == b for a, b in brute_groups(fps).items())
     assert Counter(r.doc_id for r in rows).most_common(1)[0][1] <= 3
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def brute_verdict(url):
+    """Host, path and the longest rule that fits, by plain Python."""
+    _, mark, rest = (url or "").partition("://")
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host):], maxsplit=1)[0]
+    host = host.translate(AZ)
+    fitting = [
+        r for r in urls.RULES
+        if mark and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)
+    ]
+    return host, path, max(fitting, key=lambda r: len(str(r)), default=None)
+
+
+def test_op4_rules(spark, sf_dir):
+    got = results("op4_urls", spark, sf_dir, "page_id")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        host, path, rule = brute_verdict(r.url)
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, rule and str(rule))
+        assert g.verdict == (rule.verdict if rule else "block" if g.score > 0.5 else "allow")
+
+
+def test_url_shares_leave_out_the_own_fold(spark):
+    how = urls.Boosting(folds=2, smoothing=1.0)
+    table = [(f"http://h{h}.example/p{p}", h % 3 == 0) for h in range(12) for p in range(3)]
+    labels = spark.createDataFrame([(u, int(b)) for u, b in table], "url string, blocked int")
+    pages = urls.apply_rules(labels.select(F.xxhash64("url").alias("page_id"), "url"), [])
+    fold = F.pmod(F.xxhash64("host", F.lit(how.seed)), F.lit(2)).alias("fold")
+    got = urls.featured(pages, labels, how).select("url", fold, "_x.blocked1", F.col("_learn.blocked1").alias("others")).collect()
+    fold_of, blocked = {r.url: r.fold for r in got}, dict(table)
+    overall = sum(blocked.values()) / len(blocked)
+    assert len(set(fold_of.values())) == 2
+    for r in got:
+        others = [b for u, b in blocked.items() if fold_of[u] != r.fold]
+        assert r.others == pytest.approx((sum(others) + overall) / (len(others) + 1))
+        assert r.blocked1 == pytest.approx((sum(blocked.values()) + overall) / (len(blocked) + 1))
+
+
+def test_url_trees_on_hosts_not_seen(spark):
+    """Labels that hang on the path and not on the host are found on other hosts; shares alone tell nothing."""
+    rows = [(f"https://h{h}.example.org/{'free/offer' if (h + p) % 2 else 'about'}/{h * p}", (h + p) % 2) for h in range(40) for p in range(20)]
+    labels = spark.createDataFrame(rows, "url string, blocked int")
+    unseen = F.col("url").rlike(r"//h(3[0-9])\.")
+    pages = labels.select(F.xxhash64("url").alias("page_id"), "url")
+    judged = urls.judge(pages, labels.where(~unseen), rules=[])
+    wrong = judged.join(pages, "page_id").join(labels, "url").where(unseen & ((F.col("verdict") == "block") != (F.col("blocked") == 1)))
+    assert wrong.count() == 0
