@@ -283,6 +283,7 @@ oracle(
     "src_inline_table",
     "SELECT id_hex, P013 + P014 + P015 AS pop, sigma_scenario, sigma FROM zones CROSS JOIN sigmas",
 )
+oracle("sink_units", "SELECT scenario AS unit, from_id, to_id, travel_time, scenario FROM ttm")
 oracle("sink_candidates", "SELECT generation, cand_id, trip_id FROM cands")
 
 # -- timetable --------------------------------------------------------------------------

@@ -26,6 +26,7 @@ from commutelens.plans.run import scenario_run as run_scenario
 from commutelens.plans.scenario import Study
 from commutelens.session import cut, new_folder
 from commutelens.sources import files as IO
+from commutelens.sources import units
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,6 +200,15 @@ def sink_candidates(spark, sf):
     return IO.read_candidates(spark, folder)
 
 
+@query
+def sink_units(spark, sf):
+    folder = new_folder(spark, "units")
+    ttm = I.ttm(spark, sf)
+    work = {s: lambda s=s: ttm.where(F.col("scenario") == s) for s in I.CODES}
+    units.run_open(spark, folder, work)
+    return units.read_units(spark, folder, schemas.TTM)
+
+
 # -- timetable -----------------------------------------------------------------------
 
 
