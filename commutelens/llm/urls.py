@@ -48,7 +48,8 @@ class Boosting:
     """Settings of the trees; ``max_rows`` bounds the distinct labelled URLs they learn from.
 
     ``folds`` are parts of the hosts: the trees see a URL with shares of blocked URLs from the
-    other parts, as its own label is in its own part's shares.
+    other parts, as its own label is in its own part's shares.  URLs of a suffix meet its statistics
+    in ``parts`` keys, as one suffix may hold most of them.
     """
 
     trees: int = 12
@@ -57,6 +58,7 @@ class Boosting:
     max_rows: int = 200_000
     smoothing: float = 20.0
     folds: int = 5
+    parts: int = 16
     seed: int = 17
 
 
@@ -136,7 +138,9 @@ def featured(pages: DataFrame, labels: DataFrame, how: Boosting = Boosting()) ->
     ``_x``: so a suffix tells the trees as much as it tells of hosts not seen yet.  Suffixes are
     grouped before anything is joined.
     """
-    out = pages.withColumn("_lexical", F.struct(*[c.alias(n) for n, c in lexical().items()]))
+    out = pages.withColumn("_lexical", F.struct(*[c.alias(n) for n, c in lexical().items()])).withColumn(
+        "_part", F.pmod(F.xxhash64("page_id", "url"), F.lit(how.parts)).cast("int")
+    )
     host, _ = host_and_path(F.col("url"))
     marked = labels.select(host.alias("host"), "blocked")
     overall = marked.agg(F.coalesce(F.avg("blocked"), F.lit(0.5)).alias("mean")).first()["mean"]
@@ -165,7 +169,9 @@ def featured(pages: DataFrame, labels: DataFrame, how: Boosting = Boosting()) ->
             in_fold(F.col("blocked")).alias(f"_own_blocked{n}"),
             in_fold(F.lit(1)).alias(f"_own_all{n}"),
         )
-        out = out.withColumn(end, suffix(F.col("host"), n)).join(seen.join(share, end, "left"), end)
+        every = F.explode(F.sequence(F.lit(0), F.lit(how.parts - 1)))
+        table = seen.join(share, end, "left").withColumn("_part", every)
+        out = out.withColumn(end, suffix(F.col("host"), n)).join(table, [end, "_part"])
         own_blocked, own_all = (F.get(f"_own_{what}{n}", fold(F.col("host"))) for what in ("blocked", "all"))
         columns += [f"pages{n}", f"hosts{n}", drawn(F.col(f"_blocked{n}"), F.col(f"_all{n}")).alias(f"blocked{n}")]
         others = drawn(F.col(f"_blocked{n}") - own_blocked, F.col(f"_all{n}") - own_all)
