@@ -32,7 +32,7 @@ def critical_threshold(access: DataFrame, baseline: str = BASELINE) -> DataFrame
 def sigma_thresholds(access: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """The same for each sigma: as many rows as sigmas were named in the fan-out.
 
-    That is a handful by construction, which is why the joins with it broadcast it.
+    That is a handful by construction; Spark chooses how to join with it.
     """
     people = access.where(F.col("scenario") == baseline)
     return weighted_quantiles(
