@@ -140,3 +140,24 @@ def test_clock(spark):
         seconds_of(F.col("a")).alias("a"), departure_timestamp(F.col("b")).cast("string").alias("b")
     ).first()
     assert row.a == 90001 and row.b == "2021-12-13 06:30:00"
+
+
+def test_kept_trips_are_stored_before_they_are_counted(spark, tmp_path):
+    """Joins, and what they sort, are over when the visits of a stop are counted."""
+    from commutelens.plans.queries import QUERIES
+
+    rows = {
+        "orders": ([(k, k) for k in range(1, 9)], "o_orderkey long, o_custkey long"),
+        "lineitem": (
+            [(k, n, 1 + (k + n) % 3) for k in range(1, 9) for n in (1, 2)],
+            "l_orderkey long, l_linenumber int, l_suppkey long",
+        ),
+        "supplier": ([(s,) for s in range(1, 4)], "s_suppkey long"),
+        "events": ([(1, 7), (3, 7), (3, 8), (99, 9)], "event_id long, user_id long"),
+    }
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    counted = QUERIES["feed_filter_trip_keep"](spark, str(tmp_path))
+    # trips 1 and 3 visit stops 3, 1 and 2, 3
+    assert sorted(map(tuple, counted.collect())) == [(1, 1, 1), (2, 1, 1), (3, 2, 2)]
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
